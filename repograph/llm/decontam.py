@@ -11,26 +11,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small, staged
+from .common import chunks, documents, small, staged, word_hashes
 
-#: Passages of a document: WINDOW words, one every STRIDE.
-WINDOW, STRIDE = 32, 16
+#: A document is cut into blocks of so many words; a passage is two neighbouring blocks, so each word is in two.
+BLOCK = 16
 #: Dimensions of the latent space, extra columns of the sketch, and how much each benchmark passage weighs in the decomposition.
 DIMENSIONS, OVERSAMPLE = 128, 16
 #: A term in more than this share of passages separates nothing and is left out.
 MAX_DF = 0.05
 #: A passage is a candidate from this cosine; it is a leak if the longest common subsequence covers so much of the item,
 #: or a little less with the answer in place.
-COSINE, COVER, COVER_WITH_ANSWER, ANSWER_COVER = 0.5, 0.7, 0.5, 0.8
+COSINE, COVER, COVER_WITH_ANSWER, ANSWER_COVER = 0.65, 0.7, 0.5, 0.8
 SEED = 5
-_WORDS = re.compile(r"\w+")
 
 
-def words(text: str | None) -> list[str]:
-    return _WORDS.findall((text or "").lower())
+def words(text: str | None) -> list[int]:
+    """The words of a text as hashes (see word_hashes)."""
+    return word_hashes([text or ""])[0].tolist()
 
 
-def answer_of(text: str | None) -> list[str]:
+def answer_of(text: str | None) -> list[int]:
     """The item's answer: what follows its last 'answer:' or question mark, or else its last sentence, in words."""
     text = (text or "").strip()
     low = text.lower()
@@ -57,20 +57,14 @@ def lcs(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
-def _passages(n: int) -> np.ndarray:
-    """Starts of a text's passages; the last one ends with the text."""
-    if n <= WINDOW:
-        return np.zeros(1, np.int64)
-    return np.append(np.arange(0, n - WINDOW, STRIDE), n - WINDOW)
-
-
 class Space:
     """Vocabulary, idf and projection: what executors get. Its size follows the benchmark, not the corpus."""
 
-    def __init__(self, items: list[tuple[int, list[str], list[str]]]) -> None:
+    def __init__(self, items: list[tuple[int, list[int], list[int]]]) -> None:
         self.items = items
         terms = sorted({w for _, ws, _ in items for w in ws})
         self.ids = {w: i for i, w in enumerate(terms)}
+        self.hashes = np.array(terms, np.uint64)
         self.idf = np.ones(len(terms), np.float32)
         self.used = np.ones(len(terms), bool)
         self.basis = np.zeros((len(terms), 0), np.float32)
@@ -85,14 +79,22 @@ class Space:
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def _encode(ids: dict[str, int]):
-    """Texts as term numbers (-1: a word no benchmark item has), with the passage count of each term."""
+def _encode(vocabulary: np.ndarray):
+    """Texts as term numbers; -1 is a word that no benchmark item has."""
+    size = len(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = ids.get
+        maybe = np.zeros(1 << 18, bool)
+        maybe[vocabulary >> np.uint64(46)] = True
         for batch in batches:
-            rows = [[get(w, -1) for w in words(t)] for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "terms"])
+            for start, texts in chunks(batch.column(1).to_pylist()):
+                hashes, bounds = word_hashes(texts)
+                terms = np.full(len(hashes), -1, np.int32)
+                some = np.flatnonzero(maybe[hashes >> np.uint64(46)])
+                at = np.minimum(np.searchsorted(vocabulary, hashes[some]), size - 1)
+                terms[some] = np.where(vocabulary[at] == hashes[some], at, -1)
+                rows = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(terms))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), rows], names=["doc_id", "terms"])
 
     return run
 
@@ -101,45 +103,45 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy())
 
 
-def _entries(terms: np.ndarray, sizes: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(passage of each entry, term of each entry, document of each passage, start of each passage).
+def _blocks(terms: np.ndarray, sizes: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(block of each kept word, term of each kept word, document of each block, place of each block's first word)."""
+    n = -(-sizes // BLOCK)
+    doc = np.repeat(np.arange(len(sizes)), n)
+    start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * BLOCK + (np.cumsum(sizes) - sizes)[doc]
+    keep = np.flatnonzero(terms >= 0)
+    keep = keep[used[terms[keep]]]
+    return np.searchsorted(start, keep, side="right") - 1, terms[keep], doc, start
+
+
+def _passages(block_sums: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of passages, first block of each): neighbours of one document, or the only block of a document."""
+    if not len(doc):
+        return block_sums, np.zeros(0, np.int64)
+    with_next = np.append(doc[:-1] == doc[1:], False)
+    alone = np.append(True, doc[1:] != doc[:-1]) & ~with_next
+    first = np.flatnonzero(with_next | alone)
+    out = block_sums[first]
+    out[with_next[first]] += block_sums[first[with_next[first]] + 1]
+    return out, first
 
-    A word counts in every passage that covers it.
+
+def _sum_by(group: np.ndarray, n: int, rows: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """out[g] = sum of m[rows[i]] over the i with group[i] == g, for ascending groups of few members each.
+
+    The k-th members of all groups are added at once; groups lie in order of size, so that is a slice.
     """
-    n_pass = np.where(sizes <= WINDOW, 1, -(-(sizes - WINDOW) // STRIDE) + 1)
-    n_pass = np.where(sizes == 0, 0, n_pass)
-    first = np.cumsum(n_pass) - n_pass
-    doc = np.repeat(np.arange(len(sizes)), n_pass)
-    j = np.arange(int(n_pass.sum())) - first[doc]
-    start = np.minimum(j * STRIDE, np.maximum(sizes[doc] - WINDOW, 0))
-    begin = np.cumsum(sizes) - sizes
-    keep = np.flatnonzero((terms >= 0) & used[terms])
-    # entries by position: a kept word belongs to the passages whose span holds it
-    lo = begin[doc] + start
-    hi = begin[doc] + np.minimum(start + WINDOW, sizes[doc])
-    a, b = np.searchsorted(keep, lo), np.searchsorted(keep, hi)
-    count = b - a
-    which = np.repeat(np.arange(len(doc)), count)
-    at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)
-    return which, terms[keep[at]], doc, start
-
-
-def _rows(which: np.ndarray, terms: np.ndarray, n: int, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """TF-IDF rows of length 1 as (row, term, value), a term once a row."""
-    key = which.astype(np.int64) * len(idf) + terms
-    key, count = np.unique(key, return_counts=True)
-    row, term = key // len(idf), key % len(idf)
-    value = count.astype(np.float32) * idf[term]
-    norm = np.sqrt(np.bincount(row, value * value, n))
-    return row, term, (value / np.maximum(norm, 1e-9)[row]).astype(np.float32)
-
-
-def _project(row: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, m: np.ndarray) -> np.ndarray:
-    out = np.zeros((n, m.shape[1]), np.float32)
-    if len(row):
-        first = np.flatnonzero(np.diff(row, prepend=-1))
-        out[row[first]] = np.add.reduceat(m[term] * value[:, None], first, axis=0)
-    return out
+    out = np.zeros((n, m.shape[1]), m.dtype)
+    size = np.bincount(group, minlength=n)
+    order = np.argsort(-size, kind="stable")
+    first = (np.cumsum(size) - size)[order]
+    ordered = size[order]
+    k = 0
+    while (many := int(np.searchsorted(-ordered, -k, side="left"))) > 0:
+        out[:many] += m[rows[first[:many] + k]]
+        k += 1
+    back = np.empty_like(out)
+    back[order] = out
+    return back
 
 
 def _batches(batch: pa.RecordBatch, words_at_once: int = 40_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -154,7 +156,7 @@ def _batches(batch: pa.RecordBatch, words_at_once: int = 40_000) -> Iterator[tup
 
 
 def fit_space(encoded: DataFrame, space: Space, dimensions: int = DIMENSIONS, max_df: float = MAX_DF, seed: int = SEED) -> Space:
-    """idf over all passages, then a randomised SVD of their TF-IDF matrix A with the items' rows under it.
+    """idf over all blocks, then a randomised SVD of the passages' TF-IDF matrix A with the items' rows under it.
 
     The sketch is Y = (A'A) W for a random W: each task adds up its passages' part, the driver sums
     |vocabulary| x (dimensions + OVERSAMPLE) numbers of each task through an aggregation by term, and a
@@ -168,9 +170,9 @@ def fit_space(encoded: DataFrame, space: Space, dimensions: int = DIMENSIONS, ma
         everything = np.ones(n_terms, bool)
         for batch in batches:
             for _, terms, sizes in _batches(batch):
-                which, term, doc, _ = _entries(terms, sizes, everything)
-                key = np.unique(which.astype(np.int64) * n_terms + term)
-                df += np.bincount(key % n_terms, minlength=n_terms)
+                block, term, doc, _ = _blocks(terms, sizes, everything)
+                key = np.sort(block * n_terms + term)
+                df += np.bincount(key[np.diff(key, prepend=-1) != 0] % n_terms, minlength=n_terms)
                 total += len(doc)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, n_terms, dtype=np.int32)), pa.array(np.append(total, df))], names=["term", "n"])
 
@@ -184,20 +186,27 @@ def fit_space(encoded: DataFrame, space: Space, dimensions: int = DIMENSIONS, ma
     q = space.matrix()
     width = min(dimensions + OVERSAMPLE, max(1, n_terms))
     sketch = np.random.Generator(np.random.PCG64(seed)).standard_normal((n_terms, width)).astype(np.float32)
-    idf, used = space.idf, space.used
-    wide = encoded.sparkSession.sparkContext.broadcast(sketch)
+    used = space.used
+    wide = encoded.sparkSession.sparkContext.broadcast(sketch * space.idf[:, None])
 
     def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y = np.zeros((n_terms, width), np.float64)
         for batch in batches:
             for _, terms, sizes in _batches(batch):
-                which, term, doc, _ = _entries(terms, sizes, used)
-                row, term, value = _rows(which, term, len(doc), idf)
-                p = _project(row, term, value, len(doc), wide.value)
+                block, term, doc, _ = _blocks(terms, sizes, used)
+                if not len(term):
+                    continue
+                p, first = _passages(_sum_by(block, len(doc), term, wide.value), doc)
+                # each of a passage's blocks passes the passage's sketch to its terms
+                own = np.zeros((len(doc), width), np.float32)
+                own[first] += p
+                two = np.append(doc[:-1] == doc[1:], False)[first]
+                own[first[two] + 1] += p[two]
                 order = np.argsort(term, kind="stable")
-                first = np.flatnonzero(np.diff(term[order], prepend=-1))
-                if len(first):
-                    y[term[order][first]] += np.add.reduceat(p[row[order]] * value[order][:, None], first, axis=0)
+                at = np.append(np.flatnonzero(np.diff(term[order], prepend=-1)), len(order))
+                run_sum = np.cumsum(own[block[order]], axis=0)
+                upto = np.concatenate([np.zeros((1, width), np.float32), run_sum[at[1:] - 1]])
+                y[term[order][at[:-1]]] += np.diff(upto, axis=0)
         some = np.flatnonzero(y.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(list(y[some].astype(np.float32)), pa.list_(pa.float32()))], names=["term", "y"])
 
@@ -207,7 +216,7 @@ def fit_space(encoded: DataFrame, space: Space, dimensions: int = DIMENSIONS, ma
     sums = encoded.select("doc_id", "terms").mapInArrow(gram, "term int, y array<float>").groupBy("term").applyInPandas(add, "term int, y array<double>").toPandas()
     y = np.zeros((n_terms, width))
     if len(sums):
-        y[sums.term.to_numpy()] = np.stack(sums.y.to_list())
+        y[sums.term.to_numpy()] = np.stack(sums.y.to_list()) * space.idf[sums.term.to_numpy()][:, None]
     weight = max(1.0, total / max(1, len(q)))
     w = sketch.astype(np.float64)
     y += weight * (q.T.astype(np.float64) @ (q.astype(np.float64) @ w))
@@ -219,8 +228,8 @@ def fit_space(encoded: DataFrame, space: Space, dimensions: int = DIMENSIONS, ma
     half = y @ (vectors[:, good] / np.sqrt(values[good]))
     u, _, _ = np.linalg.svd(half, full_matrices=False)
     space.basis = u[:, :dimensions].astype(np.float32)
-    # what TF-IDF gives a term goes into the projection, and what the space doesn't hold of an item into its query
     at = q @ space.basis
+    space.basis = space.basis * space.idf[:, None]
     space.queries = at / np.maximum(np.linalg.norm(at, axis=1, keepdims=True), 1e-9)
     return space
 
@@ -228,7 +237,7 @@ def fit_space(encoded: DataFrame, space: Space, dimensions: int = DIMENSIONS, ma
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover: float = COVER, cover_with_answer: float = COVER_WITH_ANSWER) -> DataFrame:
     """doc_id, item_id, cosine, coverage, answer_found: every leak of a benchmark item into a document.
 
-    Passages (32 words, every 16) and items meet in a latent space (fit_space); passages of at least
+    Passages (32 words, one every 16) and items meet in a latent space (fit_space); passages of at least
     `cosine` are candidates. A candidate is a leak if the longest common subsequence of the item and the
     words around the passage covers `cover` of the item, or `cover_with_answer` with the answer's words
     in place (answer_of); items too short for an order of their own (under 5 words) need all. Every
@@ -245,19 +254,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     if not items:
         return spark.createDataFrame([], schema)
     space = Space(items)
-    encoded = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).filter("text IS NOT NULL").mapInArrow(_encode(space.ids), "doc_id long, terms array<int>"), "decontam-terms")
+    encoded = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).filter("text IS NOT NULL").mapInArrow(_encode(space.hashes), "doc_id long, terms array<int>"), "decontam-terms")
     fit_space(encoded, space)
     shared = spark.sparkContext.broadcast(space)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
         numbered = [([s.ids[w] for w in ws], [s.ids[w] for w in answer]) for _, ws, answer in s.items]
+        bags = [frozenset(want) for want, _ in numbered]
         for batch in batches:
             out: dict[tuple, tuple] = {}
             for part, terms, sizes in _batches(batch):
-                which, term, doc, start = _entries(terms, sizes, s.used)
-                row, term, value = _rows(which, term, len(doc), s.idf)
-                p = _project(row, term, value, len(doc), s.basis)
+                block, term, block_doc, block_start = _blocks(terms, sizes, s.used)
+                p, first = _passages(_sum_by(block, len(block_doc), term, s.basis), block_doc)
+                doc, start = block_doc[first], block_start[first]
                 p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
                 sim = p @ s.queries.T
                 begin = np.cumsum(sizes) - sizes
@@ -266,8 +276,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
                 for at, item in hits.tolist():
                     want, answer = numbered[item]
                     d = doc[at]
-                    a = max(0, int(start[at]) - len(want))
-                    near = terms[begin[d] + a : begin[d] + min(int(sizes[d]), int(start[at]) + WINDOW + len(want))].tolist()
+                    a = max(int(begin[d]), int(start[at]) - len(want))
+                    near = terms[a : min(int(begin[d] + sizes[d]), int(start[at]) + 2 * BLOCK + len(want))].tolist()
+                    if len(bags[item].intersection(near)) < cover_with_answer * len(bags[item]) * 0.7:
+                        continue
                     got = _cover(want, near)
                     if got < cover_with_answer:
                         continue
