@@ -217,8 +217,9 @@ def fit_space(encoded: DataFrame, space: Space, dimensions: int = DIMENSIONS, ma
     y = np.zeros((n_terms, width))
     if len(sums):
         y[sums.term.to_numpy()] = np.stack(sums.y.to_list()) * space.idf[sums.term.to_numpy()][:, None]
-    weight = max(1.0, total / max(1, len(q)))
     w = sketch.astype(np.float64)
+    # the mean of w'(A'A)w over random w is A's squared norm; an item's row has length 1
+    weight = max(1.0, float((w * y).sum() / width)) / len(q)
     y += weight * (q.T.astype(np.float64) @ (q.astype(np.float64) @ w))
     shift = 1e-7 * np.linalg.norm(y)
     y += shift * w
