@@ -63,7 +63,8 @@ def _kmeans(rows: DataFrame, start: list[np.ndarray], parts: Callable[[pa.Record
         got = rows.mapInArrow(sums, "space int, centre int, sums array<double>").groupBy("space", "centre").applyInPandas(add, "space int, centre int, sums array<double>").toPandas()
         centres = [c.copy() for c in centres]
         for s, i, v in zip(got.space, got.centre, got["sums"]):
-            centres[s][i] = (v[:-1] / v[-1]).astype(np.float32)
+            total = np.asarray(v, np.float64)
+            centres[s][i] = (total[:-1] / total[-1]).astype(np.float32)
     return centres
 
 
