@@ -73,7 +73,7 @@ def stats(files: DataFrame, symbols: DataFrame, projects: DataFrame, packages: D
 
 def last_writer(rows: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
     """Of each key, the values of the row that is last by order."""
-    return rows.groupBy(key).agg(F.max(F.struct(*order, *values)).alias("rg")).select(key, *[f"rg.{v}" for v in values])
+    return rows.groupBy(key).agg(F.max(F.struct(F.struct(*order).alias("o"), F.struct(*values).alias("v"))).alias("rg")).select(key, *[f"rg.v.{v}" for v in values])
 
 
 def distinct_symbols(symbols: DataFrame) -> DataFrame:
