@@ -254,8 +254,10 @@ def round_trip(pages: DataFrame, torn_before: str | None = None) -> DataFrame:
     spark = pages.sparkSession
     path = work_path(spark, "warc")
     write_warc(pages, path, torn_before).agg(F.sum("records")).collect()
-    records = staged(read_warc(spark, path), "warc-records")
-    torn = gaps(records.select("file", "start", "end", "page_id"), spark, path).filter("next_id IS NOT NULL").groupBy("file", F.col("end").alias("start")).agg(F.count("*").alias("gaps_before"))
+    # spans alone are kept for the gap log; bodies are read again rather than stored twice
+    spans = staged(read_warc(spark, path).select("file", "start", "end", "page_id"), "warc-spans")
+    records = read_warc(spark, path)
+    torn = gaps(spans, spark, path).filter("next_id IS NOT NULL").groupBy("file", F.col("end").alias("start")).agg(F.count("*").alias("gaps_before"))
     return records.join(torn, ["file", "start"], "left").select("page_id", F.col("uri").alias("url"), F.col("payload").cast("string").alias("html"), F.coalesce("gaps_before", F.lit(0)).cast("long").alias("gaps_before"))
 
 
