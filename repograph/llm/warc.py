@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -226,17 +227,17 @@ def write_warc(pages: DataFrame, path: str, torn_before: str | None = None) -> D
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pa.fs.FileSystem.from_uri(path)
         fs.create_dir(base, recursive=True)
-        # the name follows the content, so that a task run twice leaves one file
-        first, n, temporary, name = None, 0, f"{base}/.{uuid.uuid4().hex}", None
+        # named by partition, so that a task run twice leaves one file
+        n, temporary, name = 0, f"{base}/.{uuid.uuid4().hex}", None
+        part = TaskContext.get().partitionId()
         with fs.open_output_stream(temporary, compression=None) as out:
             for batch in batches:
                 for page_id, url, html, cut in zip(*(c.to_pylist() for c in batch.columns)):
                     data = member(record(page_id, url, html))
-                    first = first or f"{page_id}-{zlib.crc32(data):08x}"
                     out.write((data[: len(data) // 2] if cut else b"") + data)
                     n += 1
         if n:
-            name = f"{base}/{first}.warc.gz"
+            name = f"{base}/part-{part:05d}.warc.gz"
             fs.move(temporary, name)
         else:
             fs.delete_file(temporary)
