@@ -1,0 +1,40 @@
+from pyspark.sql import functions as F
+
+from repograph.functions import paths as P
+from repograph.operators import ranking as R
+from repograph.operators import resolve as J
+
+SYMBOLS = "file_path string, name string, kind string, start_line int, end_line int, id string"
+
+
+def _symbols(spark, *rows):
+    return spark.createDataFrame([(p, n, k, a, a + 1, f"sym:{p}#{k}#{n}#{a}") for p, n, k, a in rows], SYMBOLS)
+
+
+def test_token_estimates(spark):
+    df = spark.createDataFrame([("",), ("ab",), ("abcd",), ("x" * 400,)], "t string")
+    assert [r[0] for r in df.select(P.estimate_tokens(F.col("t"))).collect()] == [0, 1, 1, 100]
+
+
+def test_names_below_the_referrers_directory_win_at_a_slash(spark):
+    s = _symbols(spark, ("src/a.rs", "use", "function", 1), ("src/b.rs", "Foo", "struct", 1), ("src2/c.rs", "Foo", "struct", 1))
+    raw = spark.createDataFrame([("src/a.rs", "use", "Foo")], "file_path string, from string, to string")
+    assert [r.dst for r in J.resolve_references(raw, s).collect()] == ["sym:src/b.rs#struct#Foo#1"]
+
+
+def test_ambiguous_names_link_to_all_and_unknown_ones_to_none(spark):
+    s = _symbols(spark, ("c/a.rs", "use", "function", 1), ("a/b.rs", "Foo", "struct", 1), ("b/c.rs", "Foo", "struct", 1))
+    raw = spark.createDataFrame([("c/a.rs", "use", "Foo"), ("c/a.rs", "use", "Bar")], "file_path string, from string, to string")
+    assert J.resolve_references(raw, s).count() == 2
+
+
+def test_a_smaller_file_goes_in_after_one_that_did_not_fit(spark):
+    df = spark.createDataFrame([("a", 0, 10), ("b", 0, 100), ("c", 0, 5)], "path string, tier int, tokens long")
+    got = {r.path: r.included for r in R.budget_fit(df, 40).collect()}
+    assert got == {"a": True, "b": False, "c": True}
+
+
+def test_nearest_owner(spark):
+    files = spark.createDataFrame([("a/b/c.cs",), ("x.cs",)], "path string")
+    m = spark.createDataFrame([("p.csproj",), ("a/p.csproj",), ("ab/p.csproj",)], "manifest string")
+    assert dict(J.nearest_owner(files, m).collect()) == {"a/b/c.cs": "a/p.csproj", "x.cs": "p.csproj"}
