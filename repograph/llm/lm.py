@@ -6,178 +6,152 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, documents, small, staged, word_hashes
 
-#: A word is in the vocabulary from this share of all tokens; others are one unknown word. A pair is kept from this
-#: share of either model's tokens; the rest of its mass goes to the back-off. Shares bound the model at any input size.
-WORD_SHARE, PAIR_SHARE = 1e-5, 2e-6
+#: A word is in the vocabulary from so many occurrences; others are one unknown word. A pair is kept from so many; the
+#: mass of others goes to the back-off. Fixed counts: the models grow with the input, as tables, not as arrays of a task.
+WORD_COUNT, PAIR_COUNT = 2, 2
 DISCOUNT, SMOOTHING = 0.75, 0.5
+#: Tokens of a block of documents, about: a block asks for each of its distinct pairs once.
+BLOCK_TOKENS = 2_000_000
+#: In place of a word's hash: the unknown word, the beginning of a text.
+_UNKNOWN, _START = 0, 1
+_SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, loss_difference double"
 
 
-class PairModels:
-    """Two bigram models over one vocabulary, with absolute discounting and back-off to smoothed words."""
-
-    def __init__(self, words: np.ndarray, keys: np.ndarray, logs: np.ndarray, backoff: np.ndarray, unigrams: np.ndarray) -> None:
-        # words: sorted hashes; number i + 1. keys: sorted, context * width + word. The rest: [target, background].
-        self.words, self.keys, self.logs, self.backoff, self.unigrams = words, keys, logs, backoff, unigrams
-        self.width = len(words) + 2
-
-    def losses(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Negative log likelihood of each token under the target and the background."""
-        context = contexts(ids, bounds, self.width - 1)
-        key = context * self.width + ids
-        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-        out = -(self.backoff[:, context] + self.unigrams[:, ids])
-        if len(self.keys):
-            known = self.keys[at] == key
-            out[:, known] = -self.logs[:, at[known]]
-        return out
-
-
-def contexts(ids: np.ndarray, bounds: np.ndarray, start: int) -> np.ndarray:
-    out = np.empty(len(ids), np.int64)
-    out[1:] = ids[:-1]
+def contexts(words: np.ndarray, bounds: np.ndarray, start: int) -> np.ndarray:
+    out = np.empty(len(words), words.dtype)
+    out[1:] = words[:-1]
     first = bounds[:-1][np.diff(bounds) > 0]
     out[first] = start
     return out
 
 
-def _number(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    if not len(words):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
-    return np.where(words[at] == hashes, at + 1, 0)
-
-
-def _arrays(batch: pa.RecordBatch, column: int, most: int = 200_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, values, bounds) of runs of rows of about `most` values."""
-    array = batch.column(column)
-    bounds = array.offsets.to_numpy()
-    values = array.values.to_numpy(zero_copy_only=False)
-    at = 0
-    while at < len(array):
-        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, side="right")) - 1)
-        end = min(end, len(array))
-        yield at, end, values[bounds[at] : bounds[end]].astype(np.int64), (bounds[at : end + 1] - bounds[at]).astype(np.int64)
-        at = end
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents (block, doc_id, ids) and, after each block's, of its distinct pairs (block, pos, c, w, t, a).
 
-
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-    size = 0
-
-    def flush() -> pa.RecordBatch:
-        word, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+    ids are the places of a document's pairs among its block's; t and a count a pair in target documents and in all.
+    """
+    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("pos", pa.int32()), ("c", pa.int64()), ("w", pa.int64()), ("t", pa.int32()), ("a", pa.int32())])
+    block, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        word = np.concatenate([h[1] for h in held])
+        context = np.concatenate([contexts(h[1], h[2], _START) for h in held])
+        order = np.lexsort((word, context))
+        c, w = context[order], word[order]
+        new = np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1]))[: len(c)]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.cumsum(new, dtype=np.int32) - 1
+        target = np.concatenate([np.repeat(h[3], np.diff(h[2])) for h in held])
+        first = np.flatnonzero(new)
+        a = np.diff(np.append(first, len(c))).astype(np.int32)
+        t = np.bincount(place[target], minlength=len(first)).astype(np.int32)
+        at = 0
+        for ids, words, bounds, _ in held:
+            own = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(place[at : at + len(words)]))
+            yield rows(len(ids), block=pa.array(np.full(len(ids), block)), doc_id=ids, ids=own)
+            at += len(words)
+        for x in range(0, len(first), 100_000):
+            f = first[x : x + 100_000]
+            yield rows(len(f), block=pa.array(np.full(len(f), block)), pos=pa.array(np.arange(x, x + len(f), dtype=np.int32)), c=pa.array(c[f]), w=pa.array(w[f]), t=pa.array(t[x : x + len(f)]), a=pa.array(a[x : x + len(f)]))
 
     for batch in batches:
-        for _, texts in chunks(batch.column(0).to_pylist()):
-            held.append(word_hashes(texts)[0])
-            size += len(held[-1])
-            if size > 4_000_000:
-                yield flush()
-                held, size = [], 0
-    yield flush()
-
-
-def fit(encoded: DataFrame, words: np.ndarray, pair_share: float = PAIR_SHARE, discount: float = DISCOUNT, smoothing: float = SMOOTHING) -> PairModels:
-    """Models from encoded documents (ids: array<int>, target: boolean): pairs are counted over all of them."""
-    width = len(words) + 2
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            # the lowest bit says whether the document is of the target
-            got, n = np.unique(np.concatenate([np.zeros(0, np.int64), *held]), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(got >> 1), pa.array(np.where(got & 1, n, 0).astype(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "t", "a"])
-
-        for batch in batches:
-            target = np.array(batch.column(1).to_pylist(), bool)
-            for at, end, ids, bounds in _arrays(batch, 0):
-                if len(ids):
-                    key = contexts(ids, bounds, width - 1) * width + ids
-                    held.append(key * 2 + np.repeat(target[at:end], np.diff(bounds)))
-                    size += len(ids)
-                if size > 4_000_000:
-                    yield flush()
-                    held, size = [], 0
-        yield flush()
-
-    counted = staged(encoded.select("ids", "target").mapInArrow(pairs, "pair long, t long, a long").groupBy("pair").agg(F.sum("t").alias("t"), F.sum("a").alias("a")), "lm-pairs")
-    both = [F.sum("t").alias("t"), F.sum("a").alias("a")]
-    by_word = counted.groupBy((F.col("pair") % width).alias("k")).agg(*both).toPandas()
-    by_context = counted.groupBy(F.expr(f"pair div {width}").alias("k")).agg(*both).toPandas()
-    uni, ctx = np.zeros((2, width)), np.zeros((2, width))
-    for table, frame in ((uni, by_word), (ctx, by_context)):
-        k = frame.k.to_numpy(np.int64)
-        table[0, k], table[1, k] = frame.t.to_numpy(float), frame.a.to_numpy(float)
-    total = uni.sum(1)
-    # a pair seen once says nothing beyond the back-off; the shares rule beyond small inputs
-    least = np.maximum(2.0, pair_share * total)
-    kept = counted.filter((F.col("t") >= float(least[0])) | (F.col("a") >= float(least[1]))).toPandas().sort_values("pair")
-    keys = kept.pair.to_numpy(np.int64)
-    c = np.stack([kept.t.to_numpy(float), kept.a.to_numpy(float)])
-    context, word = keys // width, keys % width
-    p_word = (uni + smoothing) / (total[:, None] + smoothing * width)
-    share = np.maximum(c - discount, 0) / np.maximum(ctx[:, context], 1)
-    left = np.ones((2, width))
-    for m in (0, 1):
-        left[m] -= np.bincount(context, share[m], width)
-    left = np.maximum(left, 1e-9)
-    logs = np.log(share + left[:, context] * p_word[:, word])
-    return PairModels(words, keys, logs.astype(np.float32), np.log(left).astype(np.float32), np.log(p_word).astype(np.float32))
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> DataFrame:
+        target = np.array(batch.column(2).to_pylist(), bool)
+        for start, texts in chunks(batch.column(1).to_pylist()):
+            hashes, bounds = word_hashes(texts)
+            held.append((batch.column(0).slice(start, len(texts)), hashes.view(np.int64), bounds, target[start : start + len(texts)]))
+            size += len(hashes)
+            if size >= BLOCK_TOKENS:
+                yield from flush()
+                block, held, size = block + 1, [], 0
+    if held:
+        yield from flush()
+
+
+def fit(pairs: DataFrame, word_share: float = 0.0, pair_share: float = 0.0, discount: float = DISCOUNT, smoothing: float = SMOOTHING) -> DataFrame:
+    """c, w, lt, la: log probability of every pair under the target and the background, from c, w, t, a of blocks.
+
+    Two bigram models over one vocabulary, with absolute discounting and back-off to smoothed words. A
+    table like its input: only sums over the corpus come to the driver.
+    """
+    counted = staged(pairs.groupBy("c", "w").agg(F.sum("t").alias("t"), F.sum("a").alias("a")), "lm-pairs")
+    words = staged(counted.groupBy("w").agg(F.sum("t").alias("wt"), F.sum("a").alias("wa")), "lm-words")
+    total = [float(x or 0) for x in words.agg(F.sum("wt"), F.sum("wa")).first()]
+    known = F.col("wa") >= max(float(WORD_COUNT), word_share * total[1])
+    n, *rare = words.agg(F.count(F.when(known, 1)), F.sum(F.when(known, 0).otherwise(F.col("wt"))), F.sum(F.when(known, 0).otherwise(F.col("wa")))).first()
+    width = n + 2
+    uni = [F.when(known, F.col(x)).otherwise(F.lit(float(r or 0))) for x, r in zip(("wt", "wa"), rare)]
+    p = [(u + smoothing) / (t + smoothing * width) for u, t in zip(uni, total)]
+    vocabulary = words.select("w", known.alias("in_w"), p[0].alias("pt"), p[1].alias("pa"))
+    of_context = words.select(F.col("w").alias("c"), known.alias("in_c"))
+    # where a word is rare, (c2, w2) is the pair with the unknown word in its place; a text's beginning is no word
+    mapped = counted.join(vocabulary, "w").join(of_context, "c", "left")
+    mapped = mapped.withColumn("c2", F.when(F.coalesce("in_c", F.lit(True)), F.col("c")).otherwise(F.lit(_UNKNOWN)))
+    mapped = staged(mapped.withColumn("w2", F.when(F.col("in_w"), F.col("w")).otherwise(F.lit(_UNKNOWN))).drop("in_c", "in_w"), "lm-mapped")
+    same = (F.col("c") == F.col("c2")) & (F.col("w") == F.col("w2"))
+    rare_pairs = staged(mapped.filter(~same).groupBy("c2", "w2").agg(F.sum("t").alias("t"), F.sum("a").alias("a"), F.first("pt").alias("pt"), F.first("pa").alias("pa")), "lm-rare")
+    kept = (F.col("t") >= max(float(PAIR_COUNT), pair_share * total[0])) | (F.col("a") >= max(float(PAIR_COUNT), pair_share * total[1]))
+    over = {m: F.when(kept, F.greatest(F.col(m) - discount, F.lit(0.0))).otherwise(0.0) for m in "ta"}
+    columns = ["c2", "t", "a"]
+    sums = mapped.filter(same).select(columns).unionByName(rare_pairs.select(columns)).groupBy("c2")
+    by_context = staged(sums.agg(*[F.greatest(F.sum(m), F.lit(1)).alias(f"n{m}") for m in "ta"], *[F.sum(over[m]).alias(f"s{m}") for m in "ta"]), "lm-contexts")
+
+    def logs(df: DataFrame, *keys: str) -> DataFrame:
+        log = [F.log(over[m] / F.col(f"n{m}") + F.greatest(1 - F.col(f"s{m}") / F.col(f"n{m}"), F.lit(1e-9)) * F.col(f"p{m}")).cast("float").alias(f"l{m}") for m in "ta"]
+        return df.join(by_context, "c2").select(*keys, *log)
+
+    rare_logs = mapped.filter(~same).select("c", "w", "c2", "w2").join(logs(rare_pairs, "c2", "w2"), ["c2", "w2"]).select("c", "w", "lt", "la")
+    return logs(mapped.filter(same), "c", "w").unionByName(rare_logs)
+
+
+def _score(docs: pa.Table, pairs: pa.Table) -> pa.Table:
+    """Scores of a block's documents from the log probabilities of its pairs."""
+    logs = np.zeros((2, pairs.num_rows))
+    at = pairs["pos"].to_numpy()
+    logs[0, at], logs[1, at] = pairs["lt"].to_numpy(), pairs["la"].to_numpy()
+    out = []
+    for batch in docs.to_batches(max_chunksize=10_000):
+        array = batch.column("ids")
+        ids, n = array.flatten().to_numpy(zero_copy_only=False), np.diff(array.offsets.to_numpy())
+        some = n > 0
+        means = np.zeros((2, len(n)))
+        if len(ids):
+            means[:, some] = np.round(-np.add.reduceat(logs[:, ids], (np.cumsum(n) - n)[some], axis=1) / n[some], 6)
+        col = [pa.array(x, mask=~some) for x in (means[0], means[1], np.round(means[0] - means[1], 6))]
+        out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), *col], names=["doc_id", "n_tokens", "target_loss", "background_loss", "loss_difference"]))
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("loss_difference", pa.float64())])
+    return pa.Table.from_batches(out, schema)
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, word_share: float = 0.0, pair_share: float = 0.0) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, loss_difference for every document.
 
     Losses are mean nats a token (6 decimals); the lower the difference, the more a document is like the
     target. target_ids has the doc_id of target documents; the background is every document. Both models
-    share the vocabulary, the kept pairs, discount and smoothing; all words and pairs of all documents
-    are counted through shuffles, and only those above a share of the corpus go to the executors.
+    share the vocabulary, the kept pairs, discount and smoothing. Words and pairs of all documents are
+    counted through shuffles; every one seen twice is kept, at any input size, unless a share of all
+    tokens is given that it must reach too. Blocks of documents get their pairs' probabilities by joins.
 
     A text without words (null, empty, punctuation) has 0 tokens and null losses. Repeated rows count and
     score as often as they stand; a null doc_id is of the background. Without target documents the target
     model is uniform. Other columns are not read.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    counts = staged(base.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    words = np.sort(counts.filter(F.col("n") >= max(2.0, word_share * total)).select("word").toPandas().word.to_numpy(np.int64).view(np.uint64))
-    wide = spark.sparkContext.broadcast(words)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, texts in chunks(batch.column(1).to_pylist()):
-                hashes, bounds = word_hashes(texts)
-                ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(_number(wide.value, hashes).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), ids], names=["doc_id", "ids"])
-
     marked = small(staged(target_ids.select(F.col("doc_id").cast("long").alias("rg_t")).dropna().distinct(), "lm-target"), 16)
-    rows = base.mapInArrow(encode, "doc_id long, ids array<int>").join(marked, F.col("doc_id") == F.col("rg_t"), "left")
-    encoded = staged(rows.select("doc_id", "ids", F.col("rg_t").isNotNull().alias("target")), "lm-encoded")
-    model = spark.sparkContext.broadcast(fit(encoded, words, pair_share))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for batch in batches:
-            for at, end, ids, bounds in _arrays(batch, 1):
-                n = np.diff(bounds)
-                some = n > 0
-                means = np.zeros((2, len(n)))
-                if len(ids):
-                    sums = np.add.reduceat(m.losses(ids, bounds).astype(np.float64), bounds[:-1][some], axis=1)
-                    means[:, some] = np.round(sums / n[some], 6)
-                col = [pa.array(x, mask=~some) for x in (means[0], means[1], np.round(means[0] - means[1], 6))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(n), *col], names=["doc_id", "n_tokens", "target_loss", "background_loss", "loss_difference"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(score, "doc_id long, n_tokens long, target_loss double, background_loss double, loss_difference double")
+    rows = base.join(marked, F.col("doc_id") == F.col("rg_t"), "left").select("doc_id", "text", F.col("rg_t").isNotNull().alias("target"))
+    blocks = staged(rows.mapInArrow(_blocks, "block long, doc_id long, ids array<int>, pos int, c long, w long, t int, a int"), "lm-blocks")
+    pairs = blocks.filter("pos IS NOT NULL").select("block", "pos", "c", "w", "t", "a")
+    known = pairs.select("block", "pos", "c", "w").join(staged(fit(pairs, word_share, pair_share), "lm-logs"), ["c", "w"]).select("block", "pos", "lt", "la")
+    texts = blocks.filter("pos IS NULL").select(F.col("block").alias("of_block"), "doc_id", "ids")
+    return texts.groupBy("of_block").cogroup(known.groupBy("block")).applyInArrow(_score, _SCORES)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
