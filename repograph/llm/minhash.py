@@ -25,8 +25,9 @@ def _multipliers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(hashes: np.ndarray, bounds: np.ndarray, side: int, rows: int, k: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprints, keys, shingle counts) of texts that all have words; keys: text x 2 * side."""
-    parts = [shingles(hashes[a:b], k) for a, b in zip(bounds[:-1], bounds[1:])]
+    """(fingerprints, keys, distinct shingle counts) of texts that all have words; keys: text x 2 * side."""
+    # distinct as the verified sets are, so that a ratio of sizes bounds the Jaccard similarity
+    parts = [np.unique(shingles(hashes[a:b], k)) for a, b in zip(bounds[:-1], bounds[1:])]
     size = np.array([len(p) for p in parts])
     first = np.cumsum(size) - size
     s = np.concatenate(parts)

@@ -1,6 +1,13 @@
 """Cases in which an operator once did less than the whole job."""
 
-from repograph.llm import lm
+import random
+
+from repograph.llm import lm, minhash
+
+
+def _words(seed, n):
+    g = random.Random(seed)
+    return ["".join(g.choice("abcdefghij") for _ in range(g.randint(3, 8))) for _ in range(n)]
 
 
 def test_rare_words_and_pairs_count_in_a_large_corpus(spark):
@@ -10,3 +17,9 @@ def test_rare_words_and_pairs_count_in_a_large_corpus(spark):
     got = {r.doc_id: r for r in lm.cross_entropy_difference(d, d.filter("doc_id = 1").select("doc_id")).collect()}
     assert got[1].background_loss == got[2].background_loss < got[3].background_loss
     assert got[1].target_loss < got[3].target_loss and got[4].n_tokens == 0 and got[10].n_tokens == 40_000
+
+
+def test_a_copy_with_a_repeated_passage_is_a_near_duplicate(spark):
+    text = _words(1, 40)
+    d = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text * 6)), (3, " ".join(_words(2, 40)))], "doc_id long, text string")
+    assert [(r.doc_id, r.duplicate_of) for r in minhash.near_duplicates(d).collect()] == [(2, 1)]
