@@ -17,11 +17,9 @@ from .common import documents, staged, work_path
 
 #: Bytes a task reads of a compressed file; members that start in its span are its own.
 SPLIT, READ = 32 << 20, 1 << 20
-#: A member that inflates beyond this is not taken for a record.
-MOST = 1 << 30
 _MEMBER = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/[01]\.\d+\r\n")
-_RECORDS = "file string, start long, end long, kind string, uri string, record_id string, date string, page_id long, payload binary"
+_RECORDS = "file string, start long, end long, kind string, uri string, record_id string, date string, page_id long, payload binary, inner_start long, inner_end long, inner_size long"
 
 
 def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
@@ -53,7 +51,7 @@ def member(data: bytes) -> bytes:
 def parse(data: bytes) -> tuple[dict[str, str], bytes, int] | None:
     """(headers, body, length) of the record that data begins with; None if a check fails."""
     found = _VERSION.match(data)
-    stop = data.find(b"\r\n\r\n", 0, 1 << 16)
+    stop = data.find(b"\r\n\r\n")
     if not found or stop < 0:
         return None
     headers = {}
@@ -100,62 +98,99 @@ class _Window:
         return -1
 
 
-def _inflate(w: _Window, start: int) -> tuple[bytes, int] | None:
-    d, at, out, total = zlib.decompressobj(31), start, [], 0
-    try:
-        while not d.eof:
-            chunk = w.bytes(at, 1 << 16)
-            if not chunk:
-                return None
-            got = d.decompress(chunk, MOST + 1 - total)
-            out.append(got)
-            total += len(got)
-            if total > MOST:
-                return None
-            while d.unconsumed_tail and not d.eof:
-                got = d.decompress(d.unconsumed_tail, MOST + 1 - total)
-                out.append(got)
-                total += len(got)
-                if total > MOST:
-                    return None
-            at += len(chunk)
-    except zlib.error:
-        return None
-    return b"".join(out), at - len(d.unused_data)
+def _pieces(w: _Window, start: int) -> Iterator[tuple[bytes, int, bool]]:
+    """(bytes, place in the file after them, whether the member ended there, sound) of a member as it inflates; after damage, what inflates before it."""
+    d, at = zlib.decompressobj(31), start
+    while chunk := w.bytes(at, 1 << 14):
+        before, rest = d.copy(), chunk
+        try:
+            while True:
+                got = d.decompress(rest, READ)
+                rest = d.unconsumed_tail
+                done = at + len(chunk) - len(d.unused_data) - len(rest)
+                before = None if got else before
+                yield got, done, d.eof
+                if d.eof:
+                    return
+                if not rest and len(got) < READ:
+                    break
+        except zlib.error:
+            for i in range(len(chunk) if before else 0):
+                try:
+                    yield before.decompress(chunk[i : i + 1]), at + i + 1, False
+                except zlib.error:
+                    return
+            return
+        at += len(chunk)
+
+
+def _records(pieces: Iterator[bytes], proven: bool) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(first byte, end, headers, body) of the sound records of an inflated member, past damaged ones.
+
+    Of a member whose checksum does not hold (not proven) a record must have its own.
+    """
+    data, base, over, need, seen = bytearray(), 0, False, 0, 0
+    while True:
+        while not over and len(data) < need:
+            piece = next(pieces, None)
+            over = piece is None
+            data += piece or b""
+        at = data.find(b"WARC/")
+        if at < 0:
+            if over:
+                return
+            cut = max(0, len(data) - 4)
+            del data[:cut]
+            base, need, seen = base + cut, len(data) + 1, 0
+            continue
+        if at:
+            del data[:at]
+            base, seen = base + at, 0
+        stop = data.find(b"\r\n\r\n", seen) if over or _VERSION.match(data) or len(data) < 16 else 0
+        if stop < 0 and not over:
+            need, seen = len(data) + 1, max(0, len(data) - 3)
+            continue
+        m = re.search(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*\r\n", data[: stop + 2], re.I) if stop > 0 else None
+        if m and not over and len(data) < stop + 8 + int(m[1]):
+            need = stop + 8 + int(m[1])
+            continue
+        r = parse(bytes(data[: stop + 8 + int(m[1])])) if m else None
+        if r and (proven or "warc-payload-crc" in r[0]):
+            yield base, base + r[2], r[0], r[1]
+        cut = r[2] if r else 1
+        del data[:cut]
+        base, need, seen = base + cut, 1, 0
 
 
-def salvage(w: _Window, start: int, stop: int, packed: bool) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(start, end, headers, body) of the sound records that begin in [start, stop).
+def salvage(w: _Window, start: int, stop: int, packed: bool) -> Iterator[tuple[int, int, int, int, int | None, dict[str, str], bytes]]:
+    """(start, end, inner start, inner end, inner size, headers, body) of the sound records that begin in [start, stop).
 
-    After a failed check the search goes on one byte after the failed record's beginning, for the next
-    gzip member that inflates with its checksum and holds a record, or the next version line whose
-    length, end and checksum hold.
+    The inner places are in the inflated member, whose size is null if it is damaged. After a failed check
+    the search goes on for the next version line, within a member too, or one byte after the failed
+    record's or member's beginning for the next gzip member.
     """
     at = start
     while at < stop:
         at = w.find(_MEMBER if packed else b"WARC/", at, stop)
         if at < 0:
             return
+        end, some = at + 1, False
         if packed:
-            got = _inflate(w, at)
-            data, end = got if got else (b"", at + 1)
+            # once for the checksum, once for the records: neither holds the member
+            size, sound = 0, False
+            for got, end, sound in _pieces(w, at):
+                size += len(got)
+            for a, b, headers, body in _records((p[0] for p in _pieces(w, at)), sound) if size else ():
+                yield at, end, a, b, size if sound else None, headers, body
+                some = sound
         else:
-            head = w.bytes(at, 1 << 16)
-            m = re.search(rb"\r\ncontent-length:[ \t]*(\d+)", head, re.I)
-            body_at = head.find(b"\r\n\r\n")
-            data = w.bytes(at, body_at + 8 + int(m[1])) if m and body_at > 0 and int(m[1]) <= w.size else b""
-            end = at
-        some = False
-        if data and packed:
-            # a member may hold several records; those before damage count
-            rest = data
-            while rest and (r := parse(rest)):
-                yield at, end, r[0], r[1]
-                rest, some = rest[r[2] :], True
-        elif data and (r := parse(data)):
-            end = at + r[2]
-            yield at, end, r[0], r[1]
-            some = True
+            head = w.find(b"\r\n\r\n", at, w.size) if _VERSION.match(w.bytes(at, 32)) else -1
+            m = re.search(rb"\r\ncontent-length:[ \t]*(\d+)", w.bytes(at, head + 4 - at), re.I) if head > 0 else None
+            data = w.bytes(at, head - at + 8 + int(m[1])) if m and int(m[1]) <= w.size else b""
+            if data and (r := parse(data)):
+                end = at + r[2]
+                yield at, end, 0, r[2], r[2], r[0], r[1]
+                some = True
         at = end if some else at + 1
 
 
@@ -177,22 +212,22 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """A row for each sound record below path (*.warc.gz, *.warc).
 
     file, start, end (bytes in the file), kind, uri, record_id, date, page_id (our own header, else
-    null), payload (null if the record says so). Compressed files are read in splits: a record belongs
+    null), payload (null if the record says so), inner_start, inner_end, inner_size (see salvage). Compressed files are read in splits: a record belongs
     to the split its member begins in. Uncompressed files are read by one task each, since a payload may
     itself hold version lines. Empty files and folders give no rows; headers that repeat keep the last.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("uri", pa.string()), ("record_id", pa.string()), ("date", pa.string()), ("page_id", pa.int64()), ("payload", pa.binary())])
+        schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("uri", pa.string()), ("record_id", pa.string()), ("date", pa.string()), ("page_id", pa.int64()), ("payload", pa.binary()), *((c, pa.int64()) for c in ("inner_start", "inner_end", "inner_size"))])
         for batch in batches:
             for row in batch.to_pylist():
                 fs, name = pa.fs.FileSystem.from_uri(row["file"])
                 rows, held = [], 0
                 with fs.open_input_file(name) as f:
-                    for start, end, h, body in salvage(_Window(f, row["size"]), row["start"], row["stop"], name.endswith(".gz")):
+                    for start, end, a, b, inner, h, body in salvage(_Window(f, row["size"]), row["start"], row["stop"], name.endswith(".gz")):
                         page = h.get("warc-page-id")
                         uri = h.get("warc-target-uri")
-                        rows.append({"file": row["file"], "start": start, "end": end, "kind": h["warc-type"], "uri": None if uri is None else _as_it_was(uri), "record_id": h.get("warc-record-id"), "date": h.get("warc-date"), "page_id": int(page) if page else None, "payload": None if "warc-null-payload" in h else body})
+                        rows.append({"file": row["file"], "start": start, "end": end, "kind": h["warc-type"], "uri": None if uri is None else _as_it_was(uri), "record_id": h.get("warc-record-id"), "date": h.get("warc-date"), "page_id": int(page) if page else None, "payload": None if "warc-null-payload" in h else body, "inner_start": a, "inner_end": b, "inner_size": inner})
                         held += len(body)
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
@@ -205,7 +240,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 def gaps(records: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     """file, start, end: byte ranges of the files that no sound record covers, the quarantine log.
 
-    next_id is the page_id of the record after the gap, null for a gap that ends its file.
+    next_id is the page_id of the record after the gap, null for a gap that ends its file or member. For a
+    gap within a member, start and end are the member's, inner_start and inner_end the range in it
+    inflated, without an end where the damage hides it; else these are null.
     """
     w = Window.partitionBy("file").orderBy("start", "end")
     spans = records.groupBy("file", "start", "end").agg(F.min("page_id").alias("page_id"))
@@ -213,7 +250,13 @@ def gaps(records: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     sizes = _splits(spark, path).groupBy("file").agg(F.max("size").alias("size"))
     last = spans.groupBy("file").agg(F.max("end").alias("done"))
     tail = sizes.join(last, "file", "left").withColumn("done", F.coalesce("done", F.lit(0))).filter("done < size").select("file", F.col("done").alias("start"), F.col("size").alias("end"), F.lit(None).cast("long").alias("next_id"))
-    return before.unionByName(tail)
+    inside = Window.partitionBy("file", "start", "end").orderBy("inner_start")
+    done, following = F.coalesce(F.lag("inner_end").over(inside), F.lit(0)), F.lead("inner_start").over(inside)
+    placed = records.select("file", "start", "end", "page_id", "inner_start", "inner_end", "inner_size", done.alias("done"), following.alias("following"))
+    inner = placed.filter("inner_start > done").select("file", "start", "end", F.col("page_id").alias("next_id"), F.col("done").alias("inner_start"), F.col("inner_start").alias("inner_end"))
+    ends = placed.filter("following IS NULL AND (inner_size IS NULL OR inner_end < inner_size)").select("file", "start", "end", F.lit(None).cast("long").alias("next_id"), F.col("inner_end").alias("inner_start"), F.col("inner_size").alias("inner_end"))
+    none = [F.lit(None).cast("long").alias(c) for c in ("inner_start", "inner_end")]
+    return before.unionByName(tail).select("*", *none).unionByName(inner).unionByName(ends)
 
 
 def write_warc(pages: DataFrame, path: str, torn_before: str | None = None) -> DataFrame:
@@ -256,9 +299,9 @@ def round_trip(pages: DataFrame, torn_before: str | None = None) -> DataFrame:
     path = work_path(spark, "warc")
     write_warc(pages, path, torn_before).agg(F.sum("records")).collect()
     # spans alone are kept for the gap log; bodies are read again rather than stored twice
-    spans = staged(read_warc(spark, path).select("file", "start", "end", "page_id"), "warc-spans")
+    spans = staged(read_warc(spark, path).select("file", "start", "end", "page_id", "inner_start", "inner_end", "inner_size"), "warc-spans")
     records = read_warc(spark, path)
-    torn = gaps(spans, spark, path).filter("next_id IS NOT NULL").groupBy("file", F.col("end").alias("start")).agg(F.count("*").alias("gaps_before"))
+    torn = gaps(spans, spark, path).filter("next_id IS NOT NULL AND inner_start IS NULL").groupBy("file", F.col("end").alias("start")).agg(F.count("*").alias("gaps_before"))
     return records.join(torn, ["file", "start"], "left").select("page_id", F.col("uri").alias("url"), F.col("payload").cast("string").alias("html"), F.coalesce("gaps_before", F.lit(0)).cast("long").alias("gaps_before"))
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from repograph.llm import lm, minhash
+from repograph.llm import lm, minhash, warc
 
 
 def _words(seed, n):
@@ -23,3 +23,24 @@ def test_a_copy_with_a_repeated_passage_is_a_near_duplicate(spark):
     text = _words(1, 40)
     d = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text * 6)), (3, " ".join(_words(2, 40)))], "doc_id long, text string")
     assert [(r.doc_id, r.duplicate_of) for r in minhash.near_duplicates(d).collect()] == [(2, 1)]
+
+
+def test_salvage_goes_on_inside_a_member(spark, tmp_path):
+    records = [warc.record(i, f"http://x/{i}", " ".join(_words(i, 4000))) for i in range(8)]
+    bad = records[:3] + [records[3].replace(b" ", b"_", 30)] + records[4:]
+    (tmp_path / "a.warc.gz").write_bytes(warc.member(b"".join(bad)))
+    torn = warc.member(b"".join(records))
+    torn = torn[: len(torn) // 2] + b"\xff" * 200
+    (tmp_path / "b.warc.gz").write_bytes(torn)
+    (tmp_path / "c.warc").write_bytes(warc.record(20, "u" * 70_000, "p"))
+    path = f"file://{tmp_path}"
+    got = warc.read_warc(spark, path)
+    ids = {x: sorted(r.page_id for r in got.collect() if r.file.endswith(x)) for x in ("a.warc.gz", "b.warc.gz", "c.warc")}
+    assert ids["a.warc.gz"] == [0, 1, 2, 4, 5, 6, 7] and ids["c.warc"] == [20]
+    assert ids["b.warc.gz"][:3] == [0, 1, 2] and len(ids["b.warc.gz"]) < 8
+    gaps = {r.file[-9:]: r for r in warc.gaps(got, spark, path).collect()}
+    first = sum(map(len, bad[:3]))
+    assert (gaps["a.warc.gz"].inner_start, gaps["a.warc.gz"].inner_end, gaps["a.warc.gz"].next_id) == (first, first + len(bad[3]), 4)
+    assert gaps["b.warc.gz"].inner_start == sum(map(len, records[: len(ids["b.warc.gz"])])) and gaps["b.warc.gz"].inner_end is None
+    pages = spark.createDataFrame([(1, "v" * 70_000, "x")], "page_id long, url string, html string")
+    assert warc.round_trip(pages).count() == 1
