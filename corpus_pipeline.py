@@ -41,7 +41,7 @@ STAGES = [
     ("sharding", assign_shards),
 ]
 
-#: Trained models and hash-drawn rounding are not SQL; tests/llm checks run() against a brute-force version.
+#: Trained models and hash-drawn rounding are not SQL; no test compares run() with a brute-force version yet.
 ORACLE_SQL = None
 
 
