@@ -17,8 +17,9 @@ from .common import chunks, documents, small, staged, word_hashes
 BLOCK = 16
 #: Dimensions of the latent space, extra columns of the sketch, and how much each benchmark passage weighs in the decomposition.
 DIMENSIONS, OVERSAMPLE = 128, 16
-#: A term in more than this share of passages separates nothing and is left out.
-MAX_DF = 0.05
+#: A term in more than this share of passages separates nothing and is left out of the latent space; items that
+#: it leaves less than COVERED of their words reach the exact check by the words they share with a passage.
+MAX_DF, COVERED = 0.05, 0.75
 #: A passage is a candidate from this cosine; it is a leak if the longest common subsequence covers so much of the item,
 #: or a little less with the answer in place.
 COSINE, COVER, COVER_WITH_ANSWER, ANSWER_COVER = 0.65, 0.7, 0.5, 0.8
@@ -239,7 +240,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     """doc_id, item_id, cosine, coverage, answer_found: every leak of a benchmark item into a document.
 
     Passages (32 words, one every 16) and items meet in a latent space (fit_space); passages of at least
-    `cosine` are candidates. A candidate is a leak if the longest common subsequence of the item and the
+    `cosine` are candidates, and for items of frequent terms (COVERED) those that share words. A candidate is a leak if the longest common subsequence of the item and the
     words around the passage covers `cover` of the item, or `cover_with_answer` with the answer's words
     in place (answer_of); items too short for an order of their own (under 5 words) need all. Every
     passage of every document is compared with every item.
@@ -263,6 +264,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
         s = shared.value
         numbered = [([s.ids[w] for w in ws], [s.ids[w] for w in answer]) for _, ws, answer in s.items]
         bags = [frozenset(want) for want, _ in numbered]
+        common = [i for i, (want, _) in enumerate(numbered) if s.used[want].mean() < COVERED]
+        everything = np.ones(len(s.used), bool)
+        held = np.zeros((len(s.used), len(common)), np.float32)
+        for k, i in enumerate(common):
+            held[numbered[i][0], k] = 1
+        # half of what an item of that density brings into a passage
+        least = np.array([min(len(numbered[i][0]), 2 * BLOCK) * cover_with_answer / 2 for i in common], np.float32)
         for batch in batches:
             out: dict[tuple, tuple] = {}
             for part, terms, sizes in _batches(batch):
@@ -273,7 +281,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
                 sim = p @ s.queries.T
                 begin = np.cumsum(sizes) - sizes
                 ids = part.column(0).to_pylist()
-                hits = np.argwhere(sim >= cosine)
+                near_enough = sim >= cosine
+                if common:
+                    block, term, _, _ = _blocks(terms, sizes, everything)
+                    shared_words, _ = _passages(_sum_by(block, len(block_doc), term, held), block_doc)
+                    near_enough[:, common] |= shared_words >= least
+                hits = np.argwhere(near_enough)
                 for at, item in hits.tolist():
                     want, answer = numbered[item]
                     d = doc[at]

@@ -2,7 +2,7 @@
 
 import random
 
-from repograph.llm import lm, minhash, warc
+from repograph.llm import decontam, lm, minhash, warc
 
 
 def _words(seed, n):
@@ -44,3 +44,11 @@ def test_salvage_goes_on_inside_a_member(spark, tmp_path):
     assert gaps["b.warc.gz"].inner_start == sum(map(len, records[: len(ids["b.warc.gz"])])) and gaps["b.warc.gz"].inner_end is None
     pages = spark.createDataFrame([(1, "v" * 70_000, "x")], "page_id long, url string, html string")
     assert warc.round_trip(pages).count() == 1
+
+
+def test_an_item_copied_everywhere_is_found_everywhere(spark):
+    item = " ".join(_words(99, 20))
+    rows = [(i, " ".join(_words(i, 30)) + (" " + item if i % 2 else "") + " " + " ".join(_words(i + 50, 30))) for i in range(12)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1, 12, 2)) and {r.coverage for r in got} == {1.0}
