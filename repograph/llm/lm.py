@@ -10,148 +10,288 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, small, staged, word_hashes
+from .common import chunks, documents, mix, release, small, staged, word_hashes
 
 #: A word is in the vocabulary from so many occurrences; others are one unknown word. A pair is kept from so many; the
-#: mass of others goes to the back-off. Fixed counts: the models grow with the input, as tables, not as arrays of a task.
+#: mass of others goes to the back-off. Fixed counts: what is counted and kept grows with the input.
 WORD_COUNT, PAIR_COUNT = 2, 2
 DISCOUNT, SMOOTHING = 0.75, 0.5
-#: Tokens of a block of documents, about: a block asks for each of its distinct pairs once.
-BLOCK_TOKENS = 2_000_000
-#: In place of a word's hash: the unknown word, the beginning of a text.
-_UNKNOWN, _START = 0, 1
+#: Tokens of a block of documents, about, and distinct pairs or words that a shard of the counts holds, about.
+BLOCK_TOKENS, SHARD_ROWS = 3_000_000, 2_000_000
+#: Stands for the beginning of a text among the contexts.
+_START = np.uint64(1)
+_PAYLOAD, _PAIRS, _WORDS, _SUMS, _TOTALS = range(5)
 _SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, loss_difference double"
+_BLOCKS = "block long, docs array<long>, sizes array<int>, target array<boolean>, words binary, tokens binary, n_pairs long, n_words long"
+_ROUTED = "shard long, block long, kind int, blob binary"
+_ROUTED_ARROW = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("kind", pa.int32()), ("blob", pa.binary())])
 
 
-def contexts(words: np.ndarray, bounds: np.ndarray, start: int) -> np.ndarray:
-    out = np.empty(len(words), words.dtype)
-    out[1:] = words[:-1]
-    first = bounds[:-1][np.diff(bounds) > 0]
-    out[first] = start
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes: each in its least unsigned width (floats as they are), its bytes by plane, compressed."""
+    out = []
+    for a in arrays:
+        if a.dtype.kind != "f":
+            top = int(a.max()) if len(a) else 0
+            a = a.astype(np.dtype("u1") if top < 1 << 8 else np.dtype("<u2") if top < 1 << 16 else np.dtype("<u4") if top < 1 << 32 else np.dtype("<u8"))
+        planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()
+        small = bytes(pa.compress(planes, codec="zstd", asbytes=True)) if planes else b""
+        out.append(a.dtype.str[1:].encode() + len(a).to_bytes(8, "little") + len(small).to_bytes(8, "little") + small)
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, n, size = np.dtype("<" + data[at : at + 2].decode()), int.from_bytes(data[at + 2 : at + 10], "little"), int.from_bytes(data[at + 10 : at + 18], "little")
+        at += 18
+        planes = pa.decompress(data[at : at + size], n * kind.itemsize, codec="zstd", asbytes=True) if size else b""
+        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(kind.itemsize, n).T).view(kind).ravel())
+        at += size
     return out
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (block, doc_id, ids) and, after each block's, of its distinct pairs (block, pos, c, w, t, a).
-
-    ids are the places of a document's pairs among its block's; t and a count a pair in target documents and in all.
-    """
-    schema = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("pos", pa.int32()), ("c", pa.int64()), ("w", pa.int64()), ("t", pa.int32()), ("a", pa.int32())])
+    """A row for each block of documents: its distinct words, and its texts as places among them."""
     block, held, size = TaskContext.get().partitionId() << 32, [], 0
 
-    def rows(n: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        word = np.concatenate([h[1] for h in held])
-        context = np.concatenate([contexts(h[1], h[2], _START) for h in held])
-        order = np.lexsort((word, context))
-        c, w = context[order], word[order]
-        new = np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1]))[: len(c)]
-        place = np.empty(len(order), np.int32)
-        place[order] = np.cumsum(new, dtype=np.int32) - 1
-        target = np.concatenate([np.repeat(h[3], np.diff(h[2])) for h in held])
-        first = np.flatnonzero(new)
-        a = np.diff(np.append(first, len(c))).astype(np.int32)
-        t = np.bincount(place[target], minlength=len(first)).astype(np.int32)
-        at = 0
-        for ids, words, bounds, _ in held:
-            own = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(place[at : at + len(words)]))
-            yield rows(len(ids), block=pa.array(np.full(len(ids), block)), doc_id=ids, ids=own)
-            at += len(words)
-        for x in range(0, len(first), 100_000):
-            f = first[x : x + 100_000]
-            yield rows(len(f), block=pa.array(np.full(len(f), block)), pos=pa.array(np.arange(x, x + len(f), dtype=np.int32)), c=pa.array(c[f]), w=pa.array(w[f]), t=pa.array(t[x : x + len(f)]), a=pa.array(a[x : x + len(f)]))
+    def flush() -> pa.RecordBatch:
+        words, tokens = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
+        sizes = np.concatenate([np.diff(h[2]) for h in held])
+        n_pairs = len(np.unique(_codes(tokens, sizes, len(words))))
+        columns = [
+            [block], [np.concatenate([np.asarray(h[0]) for h in held])], [sizes.astype(np.int32)], [np.concatenate([h[3] for h in held])],
+            [words.tobytes()], [pack(tokens)], [n_pairs], [len(words)],
+        ]
+        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        columns[1] = [[x for h in held for x in h[0].to_pylist()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["block", "docs", "sizes", "target", "words", "tokens", "n_pairs", "n_words"])
 
     for batch in batches:
         target = np.array(batch.column(2).to_pylist(), bool)
         for start, texts in chunks(batch.column(1).to_pylist()):
             hashes, bounds = word_hashes(texts)
-            held.append((batch.column(0).slice(start, len(texts)), hashes.view(np.int64), bounds, target[start : start + len(texts)]))
+            held.append((batch.column(0).slice(start, len(texts)), hashes, bounds, target[start : start + len(texts)]))
             size += len(hashes)
             if size >= BLOCK_TOKENS:
-                yield from flush()
+                yield flush()
                 block, held, size = block + 1, [], 0
     if held:
-        yield from flush()
+        yield flush()
 
 
-def fit(pairs: DataFrame, word_share: float = 0.0, pair_share: float = 0.0, discount: float = DISCOUNT, smoothing: float = SMOOTHING) -> DataFrame:
-    """c, w, lt, la: log probability of every pair under the target and the background, from c, w, t, a of blocks.
+def _codes(tokens: np.ndarray, sizes: np.ndarray, n_words: int) -> np.ndarray:
+    """(context, word) of each token as one number; a text's first token has the context n_words."""
+    context = np.empty(len(tokens), np.int64)
+    context[1:] = tokens[:-1]
+    context[(np.cumsum(sizes) - sizes)[sizes > 0]] = n_words
+    return context * (n_words + 1) + tokens
 
-    Two bigram models over one vocabulary, with absolute discounting and back-off to smoothed words. A
-    table like its input: only sums over the corpus come to the driver.
-    """
-    counted = staged(pairs.groupBy("c", "w").agg(F.sum("t").alias("t"), F.sum("a").alias("a")), "lm-pairs")
-    words = staged(counted.groupBy("w").agg(F.sum("t").alias("wt"), F.sum("a").alias("wa")), "lm-words")
-    total = [float(x or 0) for x in words.agg(F.sum("wt"), F.sum("wa")).first()]
-    known = F.col("wa") >= max(float(WORD_COUNT), word_share * total[1])
-    n, *rare = words.agg(F.count(F.when(known, 1)), F.sum(F.when(known, 0).otherwise(F.col("wt"))), F.sum(F.when(known, 0).otherwise(F.col("wa")))).first()
-    width = n + 2
-    uni = [F.when(known, F.col(x)).otherwise(F.lit(float(r or 0))) for x, r in zip(("wt", "wa"), rare)]
-    p = [(u + smoothing) / (t + smoothing * width) for u, t in zip(uni, total)]
-    vocabulary = words.select("w", known.alias("in_w"), p[0].alias("pt"), p[1].alias("pa"))
-    of_context = words.select(F.col("w").alias("c"), known.alias("in_c"))
-    # where a word is rare, (c2, w2) is the pair with the unknown word in its place; a text's beginning is no word
-    mapped = counted.join(vocabulary, "w").join(of_context, "c", "left")
-    mapped = mapped.withColumn("c2", F.when(F.coalesce("in_c", F.lit(True)), F.col("c")).otherwise(F.lit(_UNKNOWN)))
-    mapped = staged(mapped.withColumn("w2", F.when(F.col("in_w"), F.col("w")).otherwise(F.lit(_UNKNOWN))).drop("in_c", "in_w"), "lm-mapped")
-    same = (F.col("c") == F.col("c2")) & (F.col("w") == F.col("w2"))
-    rare_pairs = staged(mapped.filter(~same).groupBy("c2", "w2").agg(F.sum("t").alias("t"), F.sum("a").alias("a"), F.first("pt").alias("pt"), F.first("pa").alias("pa")), "lm-rare")
-    kept = (F.col("t") >= max(float(PAIR_COUNT), pair_share * total[0])) | (F.col("a") >= max(float(PAIR_COUNT), pair_share * total[1]))
-    over = {m: F.when(kept, F.greatest(F.col(m) - discount, F.lit(0.0))).otherwise(0.0) for m in "ta"}
-    columns = ["c2", "t", "a"]
-    sums = mapped.filter(same).select(columns).unionByName(rare_pairs.select(columns)).groupBy("c2")
-    by_context = staged(sums.agg(*[F.greatest(F.sum(m), F.lit(1)).alias(f"n{m}") for m in "ta"], *[F.sum(over[m]).alias(f"s{m}") for m in "ta"]), "lm-contexts")
-
-    def logs(df: DataFrame, *keys: str) -> DataFrame:
-        log = [F.log(over[m] / F.col(f"n{m}") + F.greatest(1 - F.col(f"s{m}") / F.col(f"n{m}"), F.lit(1e-9)) * F.col(f"p{m}")).cast("float").alias(f"l{m}") for m in "ta"]
-        return df.join(by_context, "c2").select(*keys, *log)
-
-    rare_logs = mapped.filter(~same).select("c", "w", "c2", "w2").join(logs(rare_pairs, "c2", "w2"), ["c2", "w2"]).select("c", "w", "lt", "la")
-    return logs(mapped.filter(same), "c", "w").unionByName(rare_logs)
-
-
-def _score(docs: pa.Table, pairs: pa.Table) -> pa.Table:
-    """Scores of a block's documents from the log probabilities of its pairs."""
-    logs = np.zeros((2, pairs.num_rows))
-    at = pairs["pos"].to_numpy()
-    logs[0, at], logs[1, at] = pairs["lt"].to_numpy(), pairs["la"].to_numpy()
-    out = []
-    for batch in docs.to_batches(max_chunksize=10_000):
-        array = batch.column("ids")
-        ids, n = array.flatten().to_numpy(zero_copy_only=False), np.diff(array.offsets.to_numpy())
-        some = n > 0
-        means = np.zeros((2, len(n)))
-        if len(ids):
-            means[:, some] = np.round(-np.add.reduceat(logs[:, ids], (np.cumsum(n) - n)[some], axis=1) / n[some], 6)
-        col = [pa.array(x, mask=~some) for x in (means[0], means[1], np.round(means[0] - means[1], 6))]
-        out.append(pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), *col], names=["doc_id", "n_tokens", "target_loss", "background_loss", "loss_difference"]))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("loss_difference", pa.float64())])
-    return pa.Table.from_batches(out, schema)
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, word_share: float = 0.0, pair_share: float = 0.0) -> DataFrame:
+
+class _Block:
+    """Distinct pairs and words of a block, in the order of their shards; the same each time it is worked out."""
+
+    def __init__(self, sizes: np.ndarray, target: np.ndarray, words: bytes, tokens: bytes) -> None:
+        self.sizes = sizes.astype(np.int64)
+        self.words = np.append(np.frombuffer(words, np.uint64), _START)
+        n = len(self.words) - 1
+        self.tokens = unpack(tokens)[0].astype(np.int64)
+        code = _codes(self.tokens, self.sizes, n)
+        of_target = np.repeat(target, self.sizes)
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        self.a = np.diff(np.append(first, len(code)))
+        self.t = np.add.reduceat(of_target[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.repeat(np.arange(len(first)), self.a)
+        self.c, self.w = code[first] // (n + 1), code[first] % (n + 1)
+
+    def pair_order(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """(pairs by shard, where each shard begins)."""
+        key = mix(self.words[self.c] * np.uint64(0x9E3779B97F4A7C15) + self.words[self.w])
+        shard = ((key >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+    def word_order(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        shard = _word_shard(self.words, shards)
+        order = np.argsort(shard, kind="stable")
+        return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _word_shard(words: np.ndarray, shards: int) -> np.ndarray:
+    return ((mix(words) >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
+def _rows(rows: list[tuple[int, int | None, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ROUTED_ARROW)], schema=_ROUTED_ARROW)
+
+
+def _block_of(batch: pa.RecordBatch | pa.Table, i: int = 0) -> _Block:
+    col = lambda name: batch.column(name)[i]
+    return _Block(col("sizes").values.to_numpy(), col("target").values.to_numpy(zero_copy_only=False), col("words").as_py(), col("tokens").as_py())
+
+
+def _runs(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    first = np.flatnonzero(np.append(True, c[1:] != c[:-1])[: len(c)])
+    return c[first], np.diff(np.append(first, len(c)))
+
+
+def _route_pairs(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = _block_of(batch, i)
+                order, at = b.pair_order(shards)
+                for s in np.flatnonzero(np.diff(at)).tolist():
+                    own = order[at[s] : at[s + 1]]
+                    c, n = _runs(b.c[own])
+                    yield _rows([(s, batch.column("block")[i].as_py(), _PAIRS, pack(b.words[c], n, b.words[b.w[own]], b.t[own], b.a[own]))])
+
+    return run
+
+
+def _count_pairs(word_shards: int, discount: float):
+    """Returns each block its pairs' counts over all (0 where a pair isn't kept), and to the words' shards the kept mass of contexts."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        parts = [unpack(x.as_py()) for x in table.column("blob")]
+        c = np.concatenate([np.repeat(p[0].astype(np.uint64), p[1]) for p in parts])
+        w, t, a = (np.concatenate([p[i] for p in parts]).astype(d) for i, d in ((2, np.uint64), (3, np.int64), (4, np.int64)))
+        order = np.lexsort((w, c))
+        cs, ws = c[order], w[order]
+        first = np.flatnonzero(np.append(True, (cs[1:] != cs[:-1]) | (ws[1:] != ws[:-1])))
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        both = [np.add.reduceat(x[order], first) for x in (t, a)]
+        kept = (both[0] >= PAIR_COUNT) | (both[1] >= PAIR_COUNT)
+        both = [np.where(kept, x, 0) for x in both]
+        back = np.empty(len(order), np.int64)
+        back[order] = group
+        rows, at = [], 0
+        for block, p in zip(table.column("block").to_pylist(), parts):
+            own = back[at : at + len(p[2])]
+            at += len(p[2])
+            rows.append((int(table.column("shard")[0].as_py()), block, _PAIRS, pack(both[0][own], both[1][own])))
+        head = cs[first][kept]
+        if len(head):
+            start = np.flatnonzero(np.append(True, head[1:] != head[:-1]))
+            sums = [np.add.reduceat(np.maximum(x[kept] - discount, 0.0), start) for x in both]
+            shard = _word_shard(head[start], word_shards)
+            for s in np.unique(shard).tolist():
+                own = shard == s
+                rows.append((s, None, _SUMS, pack(head[start][own], sums[0][own], sums[1][own])))
+        return pa.Table.from_batches([_rows(rows)])
+
+    return run
+
+
+def _route_words(shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b, n = _block_of(batch, i), None
+                n = len(b.words)
+                counts = [np.bincount(x, y, n).astype(np.int64) for x in (b.w, b.c) for y in (b.t, b.a)]
+                order, at = b.word_order(shards)
+                for s in np.flatnonzero(np.diff(at)).tolist():
+                    own = order[at[s] : at[s + 1]]
+                    yield _rows([(s, batch.column("block")[i].as_py(), _WORDS, pack(b.words[own], *(x[own] for x in counts)))])
+
+    return run
+
+
+def _count_words(table: pa.Table) -> pa.Table:
+    """Returns each block its words' counts over all, as word and as context, and the kept mass of them as contexts."""
+    table = table.sort_by([("kind", "ascending"), ("block", "ascending")])
+    kinds, blocks = table.column("kind").to_pylist(), table.column("block").to_pylist()
+    parts = [unpack(x.as_py()) for x in table.column("blob")]
+    own = [p for p, k in zip(parts, kinds) if k == _WORDS]
+    words, back = np.unique(np.concatenate([p[0].astype(np.uint64) for p in own]), return_inverse=True)
+    counts = [np.bincount(back, np.concatenate([p[i] for p in own]), len(words)).astype(np.int64) for i in range(1, 5)]
+    sums = [np.zeros(len(words)) for _ in "ta"]
+    for p, k in zip(parts, kinds):
+        if k == _SUMS:
+            at = np.searchsorted(words, p[0].astype(np.uint64))
+            for x, y in zip(sums, p[1:]):
+                x[at] += y
+    rows, at = [], 0
+    for block, p in zip([b for b, k in zip(blocks, kinds) if k == _WORDS], own):
+        i = back[at : at + len(p[0])]
+        at += len(p[0])
+        rows.append((int(table.column("shard")[0].as_py()), block, _WORDS, pack(*(x[i] for x in counts), *(x[i] for x in sums))))
+    known = counts[1] >= WORD_COUNT
+    totals = np.array([known.sum(), counts[0][~known].sum(), counts[1][~known].sum(), counts[0].sum(), counts[1].sum()], np.float64)
+    rows.append((int(table.column("shard")[0].as_py()), None, _TOTALS, totals.tobytes()))
+    return pa.Table.from_batches([_rows(rows)])
+
+
+def _score(totals: np.ndarray, pair_shards: int, word_shards: int, discount: float, smoothing: float):
+    n_known, rare, total = totals[0], totals[1:3], totals[3:5]
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds = table.column("kind").to_pylist()
+        payload = table.slice(kinds.index(_PAYLOAD), 1)
+        b = _block_of(payload)
+        pairs, words = np.zeros((2, len(b.c))), np.zeros((6, len(b.words)))
+        for out, kind, (order, at) in ((pairs, _PAIRS, b.pair_order(pair_shards)), (words, _WORDS, b.word_order(word_shards))):
+            for i in (i for i, k in enumerate(kinds) if k == kind):
+                s = table.column("shard")[i].as_py()
+                out[:, order[at[s] : at[s + 1]]] = unpack(table.column("blob")[i].as_py())
+        known = words[1] >= WORD_COUNT
+        logs = np.empty((2, len(b.c)))
+        for m in (0, 1):
+            base = (np.where(known, words[m], rare[m]) + smoothing) / (total[m] + smoothing * (n_known + 2))
+            n, kept = np.maximum(words[2 + m], 1), words[4 + m]
+            logs[m] = np.log(np.maximum(pairs[m] - discount, 0) / n[b.c] + np.maximum(1 - kept / n, 1e-9)[b.c] * base[b.w])
+        some = b.sizes > 0
+        means = np.zeros((2, len(b.sizes)))
+        if len(b.tokens):
+            means[:, some] = np.round(-np.add.reduceat(logs[:, b.place], (np.cumsum(b.sizes) - b.sizes)[some], axis=1) / b.sizes[some], 6)
+        cols = [pa.array(x, mask=~some) for x in (means[0], means[1], np.round(means[0] - means[1], 6))]
+        return pa.table([payload.column("docs")[0].values, pa.array(b.sizes), *cols], names=["doc_id", "n_tokens", "target_loss", "background_loss", "loss_difference"])
+
+    return run
+
+
+def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, discount: float = DISCOUNT, smoothing: float = SMOOTHING) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, loss_difference for every document.
 
     Losses are mean nats a token (6 decimals); the lower the difference, the more a document is like the
-    target. target_ids has the doc_id of target documents; the background is every document. Both models
-    share the vocabulary, the kept pairs, discount and smoothing. Words and pairs of all documents are
-    counted through shuffles; every one seen twice is kept, at any input size, unless a share of all
-    tokens is given that it must reach too. Blocks of documents get their pairs' probabilities by joins.
-
-    A text without words (null, empty, punctuation) has 0 tokens and null losses. Repeated rows count and
-    score as often as they stand; a null doc_id is of the background. Without target documents the target
-    model is uniform. Other columns are not read.
+    target. target_ids has the doc_id of target documents; the background is every document. Two bigram
+    models over one vocabulary, with absolute discounting and back-off to smoothed words: every word and
+    every pair seen twice is kept, at any input size.
+
+    Documents are packed into blocks; a block sends each shard of the counts its distinct pairs once, as
+    one compressed row, and gets their counts back in the same order, then likewise for words. So a hot
+    pair or word is at most one entry a block, and no task holds more than a block or a shard.
+
+    A text without words (null, empty, punctuation) has 0 tokens and null losses; one of any length is
+    counted whole, within one block. Repeated rows count and score as often as they stand; a null doc_id is
+    of the background. Without target documents the target model is uniform. An empty table gives no rows.
+    Other columns, whatever their names, are not read.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     marked = small(staged(target_ids.select(F.col("doc_id").cast("long").alias("rg_t")).dropna().distinct(), "lm-target"), 16)
     rows = base.join(marked, F.col("doc_id") == F.col("rg_t"), "left").select("doc_id", "text", F.col("rg_t").isNotNull().alias("target"))
-    blocks = staged(rows.mapInArrow(_blocks, "block long, doc_id long, ids array<int>, pos int, c long, w long, t int, a int"), "lm-blocks")
-    pairs = blocks.filter("pos IS NOT NULL").select("block", "pos", "c", "w", "t", "a")
-    known = pairs.select("block", "pos", "c", "w").join(staged(fit(pairs, word_share, pair_share), "lm-logs"), ["c", "w"]).select("block", "pos", "lt", "la")
-    texts = blocks.filter("pos IS NULL").select(F.col("block").alias("of_block"), "doc_id", "ids")
-    return texts.groupBy("of_block").cogroup(known.groupBy("block")).applyInArrow(_score, _SCORES)
+    blocks = staged(rows.mapInArrow(_blocks, _BLOCKS), "lm-blocks")
+    held = blocks.agg(F.sum("n_pairs"), F.sum("n_words")).first()
+    n_pairs, n_words = (max(1, -(-(x or 0) // SHARD_ROWS)) for x in held)
+    payload = ["sizes", "target", "words", "tokens"]
+    counted = blocks.select("block", *payload).mapInArrow(_route_pairs(n_pairs), _ROUTED).groupBy("shard").applyInArrow(_count_pairs(n_words, discount), _ROUTED)
+    counted = staged(counted, "lm-pairs")
+    release(docs.sparkSession)
+    routed = blocks.select("block", *payload).mapInArrow(_route_words(n_words), _ROUTED).unionByName(counted.filter(F.col("kind") == _SUMS))
+    of_words = staged(routed.groupBy("shard").applyInArrow(_count_words, _ROUTED), "lm-words")
+    release(docs.sparkSession)
+    totals = np.zeros(5)
+    for r in of_words.filter(F.col("kind") == _TOTALS).select("blob").toLocalIterator():
+        totals += np.frombuffer(r.blob, np.float64)
+    returns = counted.filter(F.col("kind") == _PAIRS).unionByName(of_words.filter(F.col("kind") == _WORDS))
+    none = {c: F.lit(None).cast(t) for c, t in (("docs", "array<long>"), ("sizes", "array<int>"), ("target", "array<boolean>"), ("words", "binary"), ("tokens", "binary"))}
+    whole = blocks.select("block", F.lit(0).cast("long").alias("shard"), F.lit(_PAYLOAD).alias("kind"), F.lit(None).cast("binary").alias("blob"), "docs", *payload)
+    return whole.unionByName(returns.withColumns(none)).groupBy("block").applyInArrow(_score(totals, n_pairs, n_words, discount, smoothing), _SCORES)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
