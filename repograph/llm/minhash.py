@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import chunks, documents, mix, shingles, small, staged, word_hashes
+from .common import chunks, documents, mix, release, shingles, small, staged, word_hashes
 from .components import components
 
 SHINGLE, THRESHOLD = 3, 0.5
@@ -38,11 +40,22 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray, side: int, rows: int, k:
     keys = np.zeros((len(parts), 2 * side), np.uint64)
     for r in range(rows):
         keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + low[:, r :: rows])
+    return fingerprints(hashes, bounds), keys, size
+
+
+def fingerprints(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """64 bits of each text's sequence of words."""
     words = np.arange(len(hashes), dtype=np.uint64) - np.repeat(bounds[:-1], np.diff(bounds)).astype(np.uint64)
-    at = bounds[:-1]
-    one = np.add.reduceat(hashes * mix(words * np.uint64(2) + np.uint64(1)), at)
-    two = np.add.reduceat(mix(hashes ^ np.uint64(0xA5A5A5A5)) * mix(words * np.uint64(2)), at)
-    return np.stack([one, two], 1), keys, size
+    one = np.add.reduceat(hashes * mix(words * np.uint64(2) + np.uint64(1)), bounds[:-1])
+    two = np.add.reduceat(mix(hashes ^ np.uint64(0xA5A5A5A5)) * mix(words * np.uint64(2)), bounds[:-1])
+    return mix(one ^ mix(two))
+
+
+def _worded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, bounds, which texts) of the texts that have words."""
+    hashes, bounds = word_hashes(texts)
+    keep = np.flatnonzero(np.diff(bounds) > 0)
+    return hashes, np.concatenate([bounds[:-1][keep], bounds[-1:]]), keep
 
 
 def _sign(side: int, rows: int, k: int):
@@ -50,19 +63,14 @@ def _sign(side: int, rows: int, k: int):
         for batch in batches:
             ids = np.asarray(batch.column(0).to_pylist(), dtype=np.int64)
             for start, texts in chunks(batch.column(1).to_pylist()):
-                hashes, bounds = word_hashes(texts)
-                keep = np.flatnonzero(np.diff(bounds) > 0)
+                hashes, b, keep = _worded(texts)
                 if not len(keep):
                     continue
-                b = np.concatenate([bounds[:-1][keep], bounds[-1:]])
                 prints, keys, size = signatures(hashes, b, side, rows, k)
                 flat = keys.view(np.int64)
                 offsets = pa.array(np.arange(len(keep) + 1, dtype=np.int32) * side)
                 half = [pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(flat[:, i * side : (i + 1) * side]).ravel())) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[start + keep]), pa.array(prints[:, 0].view(np.int64)), pa.array(prints[:, 1].view(np.int64)), pa.array(size.astype(np.int32)), *half],
-                    names=["doc", "fp1", "fp2", "size", "u", "v"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(ids[start + keep]), pa.array(prints.view(np.int64)), pa.array(size.astype(np.int32)), *half], names=["doc", "node", "size", "u", "v"])
 
     return run
 
@@ -72,10 +80,11 @@ def _shingle_sets(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, texts in chunks(batch.column(1).to_pylist()):
-                hashes, b = word_hashes(texts)
-                sets = [np.unique((shingles(hashes[x:y], k) >> np.uint64(32)).astype(np.uint32)).tobytes() for x, y in zip(b[:-1], b[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array(sets, pa.binary())], names=["doc", "set"])
+            for _, texts in chunks(batch.column(1).to_pylist()):
+                hashes, b, keep = _worded(texts)
+                if len(keep):
+                    sets = [np.unique((shingles(hashes[x:y], k) >> np.uint64(32)).astype(np.uint32)).tobytes() for x, y in zip(b[:-1], b[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(fingerprints(hashes, b).view(np.int64)), pa.array(sets, pa.binary())], names=["node", "set"])
 
     return run
 
@@ -103,53 +112,74 @@ def _verify(threshold: float):
     return run
 
 
-def near_edges(docs: DataFrame, threshold: float = THRESHOLD, side: int = SIDE, rows: int = ROWS, k: int = SHINGLE) -> DataFrame:
-    """src, dst: pairs that connect every group of near duplicates (not every pair of a group).
-
-    Equal word sequences collapse to their least doc_id first. In each bucket of a table the first
-    document meets all others; those it doesn't match meet the next 2, then 4, 8, ... until each has
-    matched one or met all. So a group of thousands costs as many comparisons as it has members, and
-    nothing is capped. Every candidate is verified by the Jaccard similarity of its shingle sets.
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """a, b, near of pairs (a, b) by their shingle sets; only the sets of the pairs' nodes move."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    some = sets.join(small(staged(nodes, "minhash-involved"), 16), "node", "left_semi")
+    both = pairs.join(some.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a").join(some.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b")
+    return staged(both.select("a", "b", "sa", "sb").mapInArrow(_verify(threshold), "a long, b long, near boolean"), "minhash-verified")
+
+
+def _relabelled(comp: DataFrame | None, near: DataFrame) -> DataFrame | None:
+    """comp (node, comp) with the components made one that near (a, b) joins."""
+    if near.isEmpty():
+        return comp
+    if comp is None:
+        return staged(components(near.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select("node", F.col("root").alias("comp")), "minhash-comp")
+    of_a, of_b = (comp.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}")) for x in "ab")
+    edges = near.select("a", "b").join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ca", "a").alias("src"), F.coalesce("cb", "b").alias("dst"))
+    joined = staged(components(edges).withColumnRenamed("node", "comp"), "minhash-joined")
+    moved = comp.join(joined, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+    return staged(moved.unionByName(joined.join(comp.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("root").alias("comp"))), "minhash-comp")
+
+
+def near_groups(docs: DataFrame, threshold: float = THRESHOLD, side: int = SIDE, rows: int = ROWS, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(rows doc, node; groups node, root, keep): texts as nodes, and the nodes of every group of near duplicates or copies.
+
+    Equal word sequences are one node (64 bits of them). Nodes that share a bucket of a table are
+    candidates, verified by the Jaccard similarity of their shingle sets. The groups are exactly the
+    connected components of all candidates that pass: two nodes of a bucket go without a comparison only
+    if others have connected them already. First the least node of each bucket meets the rest; then, by
+    node value, which is random, about 1, 4, 16, ... of a bucket's nodes lead in each round and meet those
+    of other components, until every bucket is one component or all its nodes have led. So a group of
+    thousands costs about as many comparisons as it has members. Nothing is capped; no task holds a bucket.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).dropna()
-    signed = staged(base.mapInArrow(_sign(side, rows, k), "doc long, fp1 long, fp2 long, size int, u array<long>, v array<long>"), "minhash-signatures")
-    same = Window.partitionBy("fp1", "fp2").orderBy("doc")
-    ranked = staged(signed.withColumn("rep", F.first("doc").over(same)).withColumn("nth", F.row_number().over(same)), "minhash-exact")
-    exact = ranked.filter((F.col("nth") > 1) & (F.col("doc") != F.col("rep"))).select(F.col("rep").alias("src"), F.col("doc").alias("dst")).distinct()
-
-    tables = ranked.filter("nth = 1").select("doc", "size", F.posexplode("u").alias("i", "x"), "v").select("doc", "size", "i", "x", F.posexplode("v").alias("j", "y"))
-    keyed = tables.select("doc", "size", F.xxhash64("i", "x", "j", "y").alias("key"))
-    bucket = Window.partitionBy("key").orderBy("doc")
-    whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shared = keyed.withColumn("nth", F.row_number().over(bucket)).withColumn("of", F.last("nth").over(whole)).filter("of > 1")
-    shared = staged(shared, "minhash-buckets")
-    if shared.isEmpty():
-        return exact
-    involved = shared.select("doc").distinct()
-    # staged: the semi-join's side is counted, and the sets are read once a round
-    sets = staged(base.join(small(staged(involved, "minhash-involved"), 16), "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(_shingle_sets(k), "doc long, set binary"), "minhash-sets")
-
-    found, open_rows, low, biggest = None, shared, 1, shared.agg(F.max("of")).first()[0]
+    signed = staged(base.mapInArrow(_sign(side, rows, k), "doc long, node long, size int, u array<long>, v array<long>"), "minhash-signatures")
+    classes = staged(signed.groupBy("node").agg(F.min("doc").alias("rep"), F.count("*").alias("held"), F.first("size").alias("size"), F.first("u").alias("u"), F.first("v").alias("v")), "minhash-classes")
+
+    tables = classes.select("node", "size", F.posexplode("u").alias("i", "x"), "v").select("node", "size", "i", "x", F.posexplode("v").alias("j", "y"))
+    keyed = tables.select("node", "size", F.xxhash64("i", "x", "j", "y").alias("key"))
+    buckets = staged(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("lead")).filter("n > 1").select("key", "n", F.col("lead.node").alias("lead"), F.col("lead.size").alias("lead_size")), "minhash-buckets")
+    followers = staged(keyed.join(small(buckets, 40), "key").filter("node != lead"), "minhash-members")
+    release(docs.sparkSession)
+    fits = lambda x, y: F.least(x, y) >= threshold * 0.999 * F.greatest(x, y)
+    # the text of a node is that of its least document; copies have equal word sequences
+    texts = base.join(small(staged(classes.join(staged(followers.select("node").union(followers.select("lead")).distinct(), "minhash-nodes"), "node", "left_semi").select(F.col("rep").alias("doc")).distinct(), "minhash-reps"), 16), "doc", "left_semi")
+    sets = staged(texts.mapInArrow(_shingle_sets(k), "node long, set binary").dropDuplicates(["node"]), "minhash-sets")
+
+    pairs = staged(followers.filter(fits("size", "lead_size")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "minhash-pairs")
+    met = _verified(pairs, sets, threshold)
+    comp = _relabelled(None, met.filter("near"))
+    rest, led = followers.select("key", "n", "node", "size"), 1
+    at = (F.col("node") / F.lit(2.0**64) + 0.5) * F.col("n")
     while True:
-        high = 2 * low - 1
-        lead = shared.filter(F.col("nth").between(low, high)).select("key", F.col("doc").alias("leader"), F.col("size").alias("leader_size"))
-        met = open_rows.join(lead, "key").filter("doc != leader").filter(F.least("size", "leader_size") >= threshold * 0.999 * F.greatest("size", "leader_size"))
-        pairs = met.select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
-        if found is not None:
-            pairs = pairs.join(found.select("a", "b"), ["a", "b"], "left_anti")
-        with_sets = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("sb")), "b")
-        now = staged(with_sets.select("a", "b", "sa", "sb").mapInArrow(_verify(threshold), "a long, b long, near boolean"), "minhash-verified")
-        found = now if found is None else found.unionByName(now)
-        if high >= biggest:
+        rest = rest.withColumn("comp", F.col("node")) if comp is None else rest.drop("comp").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        rest = rest.filter(at >= (0 if led == 1 else led // 4)).select("key", "n", "node", "size", "comp")
+        mixed = rest.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x != y").select("key")
+        rest = staged(rest.join(mixed, "key"), "minhash-open")
+        if rest.isEmpty():
             break
-        # still open: rows of buckets with more leaders to meet that no leader so far matched
-        met = open_rows.join(lead, "key").filter("doc != leader").select("key", "doc", F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b"))
-        done = met.join(found.filter("near"), ["a", "b"], "left_semi").select("key", "doc").distinct()
-        open_rows = staged(open_rows.filter(F.col("of") > high).join(done, ["key", "doc"], "left_anti").filter(F.col("nth") > 1), "minhash-open")
-        if open_rows.isEmpty():
-            break
-        low = high + 1
-    return exact.unionByName(found.filter("near").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        lead = rest.filter(at < led).select("key", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("comp").alias("a_comp"))
+        found = rest.join(lead, "key").filter("node > a AND comp != a_comp").filter(fits("size", "a_size")).select("a", F.col("node").alias("b")).distinct()
+        now = _verified(staged(found.join(met.select("a", "b"), ["a", "b"], "left_anti"), "minhash-pairs"), sets, threshold)
+        met = met.unionByName(now)
+        comp = _relabelled(comp, now.filter("near"))
+        led *= 4
+    none = classes.select("node", F.col("node").alias("comp")).limit(0)
+    involved = classes.select("node", "rep", "held").join(none if comp is None else comp, "node", "left").filter("held > 1 OR comp IS NOT NULL").select("node", F.coalesce("comp", "node").alias("root"), "rep")
+    keeps = involved.groupBy("root").agg(F.min("rep").alias("keep"))
+    return signed.select("doc", "node"), staged(involved.join(keeps, "root").select("node", "root", "keep"), "minhash-groups")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
@@ -157,26 +187,49 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, **options) ->
 
     Groups are connected components of verified pairs: at least `threshold` Jaccard similarity of
     k-word shingles (a text of under k words is one shingle). A document without words - null, empty,
-    punctuation - is nobody's duplicate; neither is a row whose doc_id is null. Rows with one doc_id
-    count as one document. Columns other than doc_id and text are not read.
+    punctuation - is nobody's duplicate; neither is a row whose doc_id is null. Repeated rows count once;
+    a doc_id whose rows have different texts is in the groups of them all. Texts are compared whole, of
+    any length. An empty table gives no rows. Columns other than doc_id and text, whatever their names,
+    are not read.
     """
-    found = components(near_edges(docs, threshold, **options))
-    return found.filter("node != root").select(F.col("node").alias("doc_id"), F.col("root").alias("duplicate_of"))
+    rows, groups = near_groups(docs, threshold, **options)
+    met = rows.join(small(groups.select("node", "keep"), 16), "node").filter("doc != keep")
+    return met.select(F.col("doc").alias("doc_id"), F.col("keep").alias("duplicate_of")).distinct()
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs with one document of each group; repeated rows of a kept doc_id are reduced to one too.
+    """docs with one document of each group, the least doc_id's; of its rows the one of least fingerprint.
 
-    Rows without a doc_id stay as they are.
+    Rows without a doc_id or without words stay as they are. Rows that share a doc_id are told apart by
+    their texts: one that is in no group stays. The columns stay, whatever their names.
     """
-    gone = staged(near_duplicates(docs, **options).select(F.col("doc_id").alias("rg_gone")), "minhash-gone")
-    kept = docs.join(small(gone, 16), docs["doc_id"].cast("long") == gone["rg_gone"], "left_anti")
-    n = docs.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
-    if n.isEmpty():
-        return kept
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in ("text", "source", "lang") if c in docs.columns])
-    once = kept.filter("doc_id IS NOT NULL").withColumn("rg_nth", F.row_number().over(first)).filter("rg_nth = 1").drop("rg_nth")
-    return once.unionByName(kept.filter("doc_id IS NULL"))
+    rows, groups = near_groups(docs, **options)
+    gone, node, nth = (f"rg_{uuid.uuid4().hex}" for _ in range(3))
+    lost = staged(rows.join(small(groups.select("node", "keep"), 16), "node").filter("doc != keep").select(F.col("doc").alias(gone)).distinct(), "minhash-gone")
+    many = staged(docs.groupBy(F.col("doc_id").cast("long").alias(gone)).count().filter(F.col(gone).isNotNull() & (F.col("count") > 1)).select(gone), "minhash-repeated")
+    if many.isEmpty():
+        return docs.join(small(lost, 16), docs["doc_id"].cast("long") == lost[gone], "left_anti")
+    id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[int | None] = [None] * batch.num_rows
+            for start, texts in chunks(batch.column(text_at).to_pylist()):
+                hashes, b, keep = _worded(texts)
+                for i, x in zip(keep.tolist(), fingerprints(hashes, b).view(np.int64).tolist() if len(keep) else ()):
+                    out[start + i] = x
+            ids = batch.column(id_at)
+            yield batch.append_column(node, pa.array([x if i is not None else None for x, i in zip(out, ids.to_pylist())], pa.int64()))
+
+    single = docs.join(small(lost, 16), docs["doc_id"].cast("long") == lost[gone], "left_anti")
+    single = single.join(small(many, 16), single["doc_id"].cast("long") == many[gone], "left_anti")
+    repeated = docs.join(small(many, 16), docs["doc_id"].cast("long") == many[gone], "left_semi")
+    numbered = staged(repeated.mapInArrow(number, StructType([*docs.schema.fields, StructField(node, LongType())])), "minhash-numbered")
+    g = groups.select(F.col("node").alias("g_node"), F.col("root").alias("g_root"), F.col("keep").alias("g_keep"))
+    met = numbered.join(small(g, 24), numbered[node] == g["g_node"], "left")
+    first = Window.partitionBy("g_root").orderBy(node)
+    kept = met.filter(F.col("g_keep") == F.col("doc_id").cast("long")).withColumn(nth, F.row_number().over(first)).filter(F.col(nth) == 1)
+    return single.unionByName(met.filter("g_keep IS NULL").select(*docs.columns)).unionByName(kept.select(*docs.columns))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

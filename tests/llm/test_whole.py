@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from repograph.llm import decontam, lm, minhash, warc
 
 
@@ -52,3 +54,77 @@ def test_an_item_copied_everywhere_is_found_everywhere(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = decontam.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
     assert sorted(r.doc_id for r in got) == list(range(1, 12, 2)) and {r.coverage for r in got} == {1.0}
+
+
+def _jaccard(a, b, k=3):
+    sets = [{tuple(x[i : i + k]) for i in range(max(1, len(x) - k + 1))} for x in (a, b)]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_minhash_groups_are_the_components_of_all_candidates(spark):
+    # one word a shingle, one minhash, one table: documents of one bucket are all candidates of each other
+    g = random.Random(5)
+    docs = {}
+    for i in range(60):
+        docs[i] = [f"w{g.randint(0, 11)}" for _ in range(g.randint(3, 9))]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "doc_id long, text string")
+    _, edges_of = minhash.near_groups(d, threshold=0.6, side=1, rows=1, k=1)
+    mul, xor = minhash._multipliers(2, 1)
+    low = {}
+    for i, t in docs.items():
+        h = np.unique(minhash.shingles(minhash.word_hashes([" ".join(t)])[0], 1))
+        low[i] = tuple(((h ^ xor[j]) * mul[j]).min() for j in (0, 1))
+    root = {i: i for i in docs}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in docs:
+        for j in range(i):
+            if docs[i] == docs[j] or (low[i] == low[j] and _jaccard(docs[i], docs[j], 1) >= 0.6):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {(i, find(i)) for i in docs if find(i) != i}
+    assert len(want) > 5
+    assert {(r.doc_id, r.duplicate_of) for r in minhash.near_duplicates(d, threshold=0.6, side=1, rows=1, k=1).collect()} == want
+
+
+def test_minhash_rows_of_one_id_with_different_texts_stay(spark):
+    a, b, c = (" ".join(_words(i, 60)) for i in (1, 2, 3))
+    rows = [(1, a, "x"), (1, b, "x"), (2, b, "x"), (3, a + " more", "x"), (4, c, "x"), (4, c, "x"), (5, "", "x"), (5, None, "x"), (None, a, "x")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, rg_nth string")
+    kept = sorted(map(str, minhash.without_near_duplicates(d).collect()))
+    assert kept == sorted(map(str, d.filter("doc_id NOT IN (2, 3, 4) OR doc_id IS NULL").unionByName(d.filter("doc_id = 4").limit(1)).collect()))
+    assert {(r.doc_id, r.duplicate_of) for r in minhash.near_duplicates(d).collect()} == {(2, 1), (3, 1)}
+
+
+def test_minhash_against_brute_force(spark):
+    g = random.Random(3)
+    texts = {}
+    for i in range(120):
+        if i % 3 and i > 5:
+            t = list(texts[g.randrange(i - 1)])
+            for _ in range(g.randint(0, 12)):
+                t[g.randrange(len(t))] = g.choice("xyz") * 4
+            texts[i] = t
+        else:
+            texts[i] = _words(1000 + i, 60)
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    dup = {r.doc_id for r in minhash.near_duplicates(d).collect()}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in texts:
+        for j in range(i):
+            if _jaccard(texts[i], texts[j]) >= 0.5:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i for i in texts if find(i) != i}
+    # candidates are a matter of chance near the threshold; nothing that isn't near is ever found
+    assert dup <= want and len(dup) >= 0.9 * len(want)
