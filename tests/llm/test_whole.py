@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from repograph.llm import decontam, lm, minhash, warc
+from repograph.llm import decontam, lm, minhash, pq, warc
 
 
 def _words(seed, n):
@@ -128,3 +128,41 @@ def test_minhash_against_brute_force(spark):
     want = {i for i in texts if find(i) != i}
     # candidates are a matter of chance near the threshold; nothing that isn't near is ever found
     assert dup <= want and len(dup) >= 0.9 * len(want)
+
+
+def _groups(pairs, n):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(int(a)), find(int(b))))
+        root[b] = a
+    return {(i, find(i)) for i in range(n) if find(i) != i}
+
+
+def test_embeddings_of_few_intrinsic_dimensions_against_brute_force(spark):
+    g = np.random.default_rng(4)
+    x = g.standard_normal((700, 6)) @ g.standard_normal((6, 128))
+    x = np.concatenate([x, x[:60] + 0.1 * g.standard_normal((60, 6)) @ g.standard_normal((6, 128)), np.repeat(x[:1], 30, 0) + 0.3 * g.standard_normal((30, 128))])
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = _groups(np.argwhere(np.triu(u @ u.T >= 0.95, 1)), len(x))
+    got = {(r.vec_id, r.duplicate_of) for r in pq.near_duplicates(d).collect()}
+    assert len(want) > 60 and len(got & want) >= 0.99 * len(want)
+
+
+def test_embeddings_of_each_length_and_hot_lists_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(pq, "LIST_ROWS", 5)
+    g = np.random.default_rng(6)
+    hot = g.standard_normal(16) + 0.02 * g.standard_normal((80, 16))
+    rest = g.standard_normal((40, 16))
+    short = g.standard_normal((20, 8))
+    x = [*hot, *rest, *short, *(short[:7] * 2.5), *(rest[:5] + 0.01), [1.0, float("nan")], [2.0, 1.0]]
+    rows = [(i, [float(v) for v in y]) for i, y in enumerate(x)] + [(3, [float(v) for v in hot[3]]), (500, None), (501, [None, 1.0])]
+    got = {(r.vec_id, r.duplicate_of) for r in pq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {(i, 0) for i in range(1, 80)} | {(140 + i, 120 + i) for i in range(7)} | {(147 + i, 80 + i) for i in range(5)}
