@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,15 +17,18 @@ from .common import chunks, documents, small, staged, word_hashes
 
 #: A document is cut into blocks of so many words; a passage is two neighbouring blocks, so each word is in two.
 BLOCK = 16
-#: Dimensions of the latent space, extra columns of the sketch, and how much each benchmark passage weighs in the decomposition.
-DIMENSIONS, OVERSAMPLE = 128, 16
+#: Dimensions of the latent space, or one for every so many items if that is more; extra columns of the sketch, and how much each benchmark passage weighs in the decomposition.
+DIMENSIONS, ITEMS_A_DIMENSION, OVERSAMPLE = 128, 8, 16
+#: Words of the items that are searched at once: what goes to executors is bounded, larger benchmarks take several passes.
+ITEM_WORDS = 20_000
 #: A term in more than this share of passages separates nothing and is left out of the latent space; items that
 #: it leaves less than COVERED of their words reach the exact check by the words they share with a passage.
 MAX_DF, COVERED = 0.05, 0.75
-#: A passage is a candidate from this cosine; it is a leak if the longest common subsequence covers so much of the item,
+#: A passage is a candidate from this cosine, less for items shorter than it, which fill less of it (see cut_off); it is a leak if the longest common subsequence covers so much of the item,
 #: or a little less with the answer in place.
 COSINE, COVER, COVER_WITH_ANSWER, ANSWER_COVER = 0.65, 0.7, 0.5, 0.8
 SEED = 5
+SCHEMA = "doc_id long, item_id long, cosine double, coverage double, answer_found boolean"
 
 
 def words(text: str | None) -> list[int]:
@@ -240,30 +245,56 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     """doc_id, item_id, cosine, coverage, answer_found: every leak of a benchmark item into a document.
 
     Passages (32 words, one every 16) and items meet in a latent space (fit_space); passages of at least
-    `cosine` are candidates, and for items of frequent terms (COVERED) those that share words. A candidate is a leak if the longest common subsequence of the item and the
+    `cosine` (cut_off) are candidates, and for items of frequent terms (COVERED) those that share words.
+    A word that no item has can be part of no common subsequence; it takes room in a passage, no more. A candidate is a leak if the longest common subsequence of the item and the
     words around the passage covers `cover` of the item, or `cover_with_answer` with the answer's words
     in place (answer_of); items too short for an order of their own (under 5 words) need all. Every
     passage of every document is compared with every item.
 
     Null or wordless texts and items leak nothing and match nothing; a null id is kept as null. Rows with
-    one doc_id give one row an item, the best. An empty benchmark or corpus gives no rows. Other columns
-    are not read.
+    one doc_id give one row an item, the best; of items with one item_id each counts. Texts of any length are
+    read whole. An empty benchmark or corpus gives no rows. Other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
-    schema = "doc_id long, item_id long, cosine double, coverage double, answer_found boolean"
-    rows = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).distinct().orderBy("i", "t").collect()
-    items = [(r.i, words(r.t), answer_of(r.t)) for r in rows if words(r.t)]
-    if not items:
-        return spark.createDataFrame([], schema)
+    rows = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).distinct().orderBy("i", "t").toLocalIterator()
+    found = spark.createDataFrame([], SCHEMA)
+    for items in _in_blocks((r.i, words(r.t), answer_of(r.t)) for r in rows):
+        found = found.unionByName(_leaks_of(docs, items, cosine, cover, cover_with_answer))
+    best = F.max(F.struct("coverage", "cosine", "answer_found")).alias("b")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.cosine", "b.coverage", "b.answer_found")
+
+
+def _in_blocks(items: Iterator[tuple]) -> Iterator[list[tuple]]:
+    held, n = [], 0
+    for item in items:
+        if not item[1]:
+            continue
+        if held and n + len(item[1]) > ITEM_WORDS:
+            yield held
+            held, n = [], 0
+        held.append(item)
+        n += len(item[1])
+    if held:
+        yield held
+
+
+def cut_off(n_words: int, cosine: float) -> float:
+    """The cosine from which a passage is a candidate for an item of so many words: `cosine` if the item fills a passage."""
+    return cosine * min(1.0, (max(n_words, 4) / (2 * BLOCK)) ** 0.5)
+
+
+def _leaks_of(docs: DataFrame, items: list[tuple[int, list[int], list[int]]], cosine: float, cover: float, cover_with_answer: float) -> DataFrame:
+    spark = docs.sparkSession
     space = Space(items)
     encoded = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).filter("text IS NOT NULL").mapInArrow(_encode(space.hashes), "doc_id long, terms array<int>"), "decontam-terms")
-    fit_space(encoded, space)
+    fit_space(encoded, space, max(DIMENSIONS, len(items) // ITEMS_A_DIMENSION))
     shared = spark.sparkContext.broadcast(space)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
         numbered = [([s.ids[w] for w in ws], [s.ids[w] for w in answer]) for _, ws, answer in s.items]
-        bags = [frozenset(want) for want, _ in numbered]
+        bags = [Counter(want) for want, _ in numbered]
+        cuts = np.array([cut_off(len(want), cosine) for want, _ in numbered], np.float32)
         common = [i for i, (want, _) in enumerate(numbered) if s.used[want].mean() < COVERED]
         everything = np.ones(len(s.used), bool)
         held = np.zeros((len(s.used), len(common)), np.float32)
@@ -281,7 +312,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
                 sim = p @ s.queries.T
                 begin = np.cumsum(sizes) - sizes
                 ids = part.column(0).to_pylist()
-                near_enough = sim >= cosine
+                near_enough = sim >= cuts[None, :]
                 if common:
                     block, term, _, _ = _blocks(terms, sizes, everything)
                     shared_words, _ = _passages(_sum_by(block, len(block_doc), term, held), block_doc)
@@ -292,7 +323,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
                     d = doc[at]
                     a = max(int(begin[d]), int(start[at]) - len(want))
                     near = terms[a : min(int(begin[d] + sizes[d]), int(start[at]) + 2 * BLOCK + len(want))].tolist()
-                    if len(bags[item].intersection(near)) < cover_with_answer * len(bags[item]) * 0.7:
+                    # no common subsequence is longer than what the bags share
+                    bag = bags[item]
+                    if sum(min(n, bag[x]) for x, n in Counter(filter(bag.__contains__, near)).items()) < cover_with_answer * len(want):
                         continue
                     got = _cover(want, near)
                     if got < cover_with_answer:
@@ -308,9 +341,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
                 names=["doc_id", "item_id", "cosine", "coverage", "answer_found"],
             )
 
-    found = encoded.mapInArrow(search, schema)
-    best = F.max(F.struct("coverage", "cosine", "answer_found")).alias("b")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.cosine", "b.coverage", "b.answer_found")
+    return encoded.mapInArrow(search, SCHEMA)
 
 
 def _cover(want: list[int], near: list[int]) -> float:
@@ -325,8 +356,9 @@ def _cover(want: list[int], near: list[int]) -> float:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """docs without the documents that hold a benchmark item; rows without a doc_id stay."""
-    leaked = staged(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("rg_leaked")).distinct(), "decontam-leaked")
-    return docs.join(small(leaked, 16), docs["doc_id"].cast("long") == leaked["rg_leaked"], "left_anti")
+    name = f"rg_{uuid.uuid4().hex}"
+    leaked = staged(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(name)).dropna().distinct(), "decontam-leaked")
+    return docs.join(small(leaked, 16), docs["doc_id"].cast("long") == leaked[name], "left_anti")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from .common import documents, mix, staged, work_path
 
 #: A line that stands in so many documents stays only in the one of least doc_id.
-MIN_DOCS = 3
+MIN_DOCS = 2
 #: Distinct lines of a shard, about; bits a key at each level of its hash.
 SHARD_KEYS, GAMMA = 500_000, 2.0
+#: Up to so many shards a worker probes them where the documents are; beyond that, lines travel to their shards.
+CACHED_SHARDS = 64
 _BLANK = " \t\r"
 _NULL_ID = -(2**63)
 
@@ -122,7 +124,7 @@ class Shard:
         return np.where(known, self.counts[safe], 0), self.owners[safe]
 
 
-@functools.lru_cache(maxsize=64)
+@functools.lru_cache(maxsize=CACHED_SHARDS)
 def _shard(path: str) -> Shard:
     return Shard.read(path)
 
@@ -161,15 +163,64 @@ def build_index(docs: DataFrame) -> tuple[str, int]:
     return folder, shards
 
 
+def _without(ids: pa.Array, texts: list[str | None], split: list[tuple[list[str], np.ndarray]], drop: list[np.ndarray]) -> pa.RecordBatch:
+    out: list[list] = [[], [], []]
+    for text, (lines, _), gone in zip(texts, split, drop):
+        n = int(gone.sum())
+        out[0].append("\n".join([x for x, g in zip(lines, gone.tolist()) if not g]) if n else text)
+        out[1].append(0 if text is None else len(lines))
+        out[2].append(n)
+    return pa.RecordBatch.from_arrays([ids, pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["doc_id", "text", "n_lines", "n_removed"])
+
+
+def _routed(docs: DataFrame, folder: str, shards: int, min_docs: int) -> DataFrame:
+    """Lines go to the task of their shard, which is loaded once, and those to drop come back to their document's row."""
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")), "lines-rows")
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, i, text in zip(*(c.to_pylist() for c in batch.columns)):
+                k = np.unique(_keys(text)[1])
+                k = k[k != 0].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.mod(k, shards).astype(np.int32)), pa.array(k), pa.array(np.full(len(k), row)), pa.array(np.full(len(k), _NULL_ID if i is None else i))], names=["shard", "line", "row", "doc"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shard = -1, None
+        for batch in batches:
+            which, line, doc = (batch.column(i).to_numpy() for i in (0, 1, 3))
+            drop = np.zeros(len(which), bool)
+            for s in np.unique(which).tolist():
+                if s != at:
+                    at, shard = s, Shard.read(f"{folder}/{s}")
+                own = np.flatnonzero(which == s)
+                counts, owners = shard.probe(line[own].view(np.uint64))
+                drop[own] = (counts >= min_docs) & (owners != doc[own])
+            yield batch.select(["row", "line"]).filter(pa.array(drop))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            split = [_keys(t) for t in texts]
+            drop = [np.isin(k.view(np.int64), np.array(gone or (), np.int64)) for (_, k), gone in zip(split, batch.column(2).to_pylist())]
+            yield _without(batch.column(0), texts, split, drop)
+
+    sent = rows.mapInArrow(lines, "shard int, line long, row long, doc long").hint("rebalance", "shard").sortWithinPartitions("shard")
+    gone = sent.mapInArrow(probe, "row long, line long").groupBy("row").agg(F.collect_list("line").alias("gone"))
+    return rows.join(gone, "row", "left").select("doc_id", "text", "gone").mapInArrow(cut, "doc_id long, text string, n_lines long, n_removed long")
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, text, n_lines, n_removed: documents without the lines that others repeat.
 
     A line (between newlines, compared without blanks at its ends) that stands in at least min_docs
     documents is removed from all of them but the one of least doc_id. Blank lines stay. Rows with one
     doc_id are one document, null ids together another; a null text stays null with no lines; an empty
-    one has one line. Distinct lines are told apart by 64-bit hashes. Other columns are not read.
+    one has one line; a text of any length is read whole. Distinct lines are told apart by 64-bit hashes.
+    An empty table gives no rows. Other columns, whatever their names, are not read.
     """
     folder, shards = build_index(docs)
+    if shards > CACHED_SHARDS:
+        return _routed(docs, folder, shards, min_docs)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,16 +238,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
                     rows = np.flatnonzero((which == s) & (keys != 0))
                     counts, owners = _shard(f"{folder}/{s}").probe(keys[rows])
                     drop[rows] = (counts >= min_docs) & (owners != owner_of[rows])
-                out: list[list] = [[], [], []]
-                begin = 0
-                for text, (lines, k) in zip(texts, split):
-                    gone = drop[begin : begin + len(k)]
-                    begin += len(k)
-                    n = int(gone.sum())
-                    out[0].append("\n".join([x for x, g in zip(lines, gone.tolist()) if not g]) if n else text)
-                    out[1].append(0 if text is None else len(lines))
-                    out[2].append(n)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["doc_id", "text", "n_lines", "n_removed"])
+                ends = np.cumsum([len(k) for _, k in split])
+                yield _without(part.column(0), texts, split, np.split(drop, ends[:-1]))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).mapInArrow(probe, "doc_id long, text string, n_lines long, n_removed long")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,10 +136,14 @@ def _node_with_base(seed: int):
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row repeated as copy_counts() says (0: it goes); columns as they were."""
-    counts = copy_counts(docs, **options).select(F.col("doc_id").alias("rg_id"), F.col("source").alias("rg_source"), F.col("copies").alias("rg_copies")).filter("rg_copies > 0")
-    met = docs.join(counts, docs["doc_id"].cast("long").eqNullSafe(counts["rg_id"]) & docs["source"].cast("string").eqNullSafe(counts["rg_source"]))
-    return met.withColumn("rg_copy", F.explode(F.sequence(F.lit(1), F.col("rg_copies")))).select(*[met[c] for c in docs.columns])
+    """docs with each row repeated as copy_counts() says (0: it goes); columns as they were, whatever their names.
+
+    Nulls, repeated rows and an empty table are as in copy_counts(); texts move once, unread.
+    """
+    names = {c: f"rg_{uuid.uuid4().hex}" for c in ("id", "source", "copies", "copy")}
+    counts = copy_counts(docs, **options).filter("copies > 0").select(F.col("doc_id").alias(names["id"]), F.col("source").alias(names["source"]), F.col("copies").alias(names["copies"]))
+    met = docs.join(counts, docs["doc_id"].cast("long").eqNullSafe(counts[names["id"]]) & docs["source"].cast("string").eqNullSafe(counts[names["source"]]))
+    return met.withColumn(names["copy"], F.explode(F.sequence(F.lit(1), F.col(names["copies"])))).select(*[met[c] for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

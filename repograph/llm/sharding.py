@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, small
 
 SHARDS, SEED = 64, 17
-#: Bits of the shuffle hash that divide a source (and the line of all rows) into ranges ranked apart, so no task sorts a whole source.
-RANGE_DIGITS = 2
+#: Rows of a range, about: a source (and the line of all rows) is cut by its shuffle hash into ranges that are ranked apart, so no task sorts a whole source.
+RANGE_ROWS = 1_000_000
 
 
 def _offsets(counts: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -30,12 +32,15 @@ def shard_rows(rows: DataFrame, n_shards: int = SHARDS, seed: int = SEED, id_col
     Repeated rows: the occurrences of a doc_id are numbered and placed apart. Fewer rows than shards
     leave shards empty; no rows give no rows. Other columns, whatever their names, are not read.
     """
+    digits, n = 2, rows.count()
+    while n > RANGE_ROWS * 16**digits:
+        digits += 1
     occurrence = Window.partitionBy("doc_id", "source").orderBy("doc_id")
     base = (
         rows.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"))
         .withColumn("rg_occ", F.row_number().over(occurrence))
         .withColumn("rg_key", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("rg_occ").cast("string"))))
-        .withColumn("rg_range", F.substring("rg_key", 1, RANGE_DIGITS))
+        .withColumn("rg_range", F.substring("rg_key", 1, digits))
         .withColumn("rg_src", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")))
     )
     per = _offsets(base.groupBy("rg_src", "rg_range").agg(F.count("*").alias("rg_n")), ["rg_src"], "rg_range")
@@ -43,7 +48,7 @@ def shard_rows(rows: DataFrame, n_shards: int = SHARDS, seed: int = SEED, id_col
     inner = Window.partitionBy("rg_src", "rg_range").orderBy("rg_key", "doc_id", "rg_occ")
     ranked = base.join(per, ["rg_src", "rg_range"]).withColumn("rg_rank", F.col("rg_before") + F.row_number().over(inner)).drop("rg_before")
     # the fraction falls in one of many equal ranges of the line; positions are counted range by range
-    ranges = 16**RANGE_DIGITS
+    ranges = 16**digits
     ranked = ranked.withColumn("rg_cell", F.expr(f"cast((2 * rg_rank - 1) * {ranges} div (2 * rg_of) as int)"))
     cells = _offsets(ranked.groupBy("rg_cell").agg(F.count("*").alias("rg_n")).withColumn("rg_all", F.lit(0)), ["rg_all"], "rg_cell")
     cells = cells.withColumn("rg_total", F.sum("rg_n").over(Window.partitionBy("rg_all"))).select("rg_cell", "rg_before", "rg_total")
@@ -58,13 +63,15 @@ def shard_rows(rows: DataFrame, n_shards: int = SHARDS, seed: int = SEED, id_col
 def shard_documents(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """docs with shard and position, every other column kept (an input column of either name is replaced).
 
-    Texts move once, to meet their position; ranks are worked out over ids and sources alone.
+    Texts move once, to meet their position; ranks are worked out over ids and sources alone. Nulls, ties,
+    repeated rows and an empty table are as in shard_rows().
     """
     kept = [c for c in docs.columns if c not in ("shard", "position")]
+    names = {c: f"rg_{uuid.uuid4().hex}" for c in ("id", "source", "occurrence", "o")}
     occurrence = Window.partitionBy("doc_id", "source").orderBy("doc_id")
-    left = docs.select(*kept).withColumn("rg_occurrence", F.row_number().over(occurrence))
-    places = shard_rows(docs, n_shards, seed).select(F.col("doc_id").alias("rg_id"), F.col("source").alias("rg_source"), F.col("occurrence").alias("rg_o"), "shard", "position")
-    met = left["doc_id"].eqNullSafe(places["rg_id"]) & left["source"].eqNullSafe(places["rg_source"]) & (left["rg_occurrence"] == places["rg_o"])
+    left = docs.select(*kept).withColumn(names["occurrence"], F.row_number().over(occurrence))
+    places = shard_rows(docs, n_shards, seed).select(F.col("doc_id").alias(names["id"]), F.col("source").alias(names["source"]), F.col("occurrence").alias(names["o"]), "shard", "position")
+    met = left["doc_id"].eqNullSafe(places[names["id"]]) & left["source"].eqNullSafe(places[names["source"]]) & (left[names["occurrence"]] == places[names["o"]])
     return left.join(places, met).select(*kept, "shard", "position")
 
 

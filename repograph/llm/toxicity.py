@@ -172,9 +172,10 @@ def _llr(k1: np.ndarray, k0: np.ndarray, n1: int, n0: int) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = SEED) -> ToxicityModel:
     """A model from labelled documents: a lexicon of stems, trees and a calibration curve.
 
-    The labels' rows of least hash are used, at most max_labelled. Words whose presence speaks for the
-    toxic label become stems (word beginnings of 4 to 9 letters) of the lexicon; trees are fit on the
-    features of four fifths of the rows, isotonic calibration on the last fifth. Rows with a null doc_id,
+    The labels' rows of least hash are used, at most max_labelled. Four fifths of them, by hash, train:
+    words whose presence speaks for the toxic label become stems (word beginnings of 4 to 9 letters) of
+    the lexicon, and trees are fit on the features. Isotonic calibration is fit on the last fifth, which
+    neither has seen (on all rows if a part lacks a class). Rows with a null doc_id,
     label or text don't take part; of several labels for a document the greatest counts. Without two
     classes the built-in lexicon decides alone.
     """
@@ -184,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
     )
     chosen = small(chosen, 16, max_labelled)
     rows = docs.select(F.col("doc_id").cast("long").alias("rg_id"), F.col("text").alias("rg_text")).dropna().join(chosen, "rg_id")
-    rows = staged(rows, "toxicity-labelled")
+    rows = staged(rows.withColumn("rg_held", F.expr(f"pmod(xxhash64(rg_id, {seed + 1}), 5) = 4")), "toxicity-labelled")
 
     def stem_rows(keep: frozenset[str] | None, toxic: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,13 +196,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
                     seen.update(found if keep is None else found & keep)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["stem", "n"])
 
-        return rows.filter(F.col("rg_y") == toxic).select("rg_text").mapInArrow(run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
+        return train.filter(F.col("rg_y") == toxic).select("rg_text").mapInArrow(run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
 
-    held = {r.rg_y: r.n for r in rows.groupBy("rg_y").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = held.get(1, 0), held.get(0, 0)
+    held = {(r.rg_held, r.y): r.n for r in rows.groupBy("rg_held", F.least(F.col("rg_y"), F.lit(1)).alias("y")).agg(F.count("*").alias("n")).collect()}
+    n1, n0 = (held.get((True, y), 0) + held.get((False, y), 0) for y in (1, 0))
     prior = n1 / (n1 + n0) if n1 + n0 else 0.0
     if not n1 or not n0:
         return ToxicityModel(frozenset(), None, None, prior)
+    apart = all(held.get((h, y), 0) for h in (True, False) for y in (0, 1))
+    train = rows.filter(~F.col("rg_held")) if apart else rows
+    if apart:
+        n1, n0 = held[False, 1], held[False, 0]
     hits = stem_rows(None, 1).filter(F.col("n") >= STEM_ROWS).toPandas().set_index("stem").n
     # a stem that even without clean rows has too little evidence is not counted there
     hits = hits[_llr(hits.to_numpy(float), np.zeros(len(hits)), n1, n0) >= STEM_LLR] if len(hits) else hits
@@ -215,14 +220,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [features(t, stems) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.list_(pa.float64()))], names=["rg_id", "y", "x"])
-
-    got: pd.DataFrame = rows.select("rg_id", "rg_text", "rg_y").mapInArrow(measure, "rg_id long, y int, x array<double>").toPandas().sort_values(["rg_id", "y"])
-    x, y = np.array(got.x.tolist(), float), got.y.to_numpy(float)
-    part = np.random.Generator(np.random.PCG64(seed)).permutation(len(y)) % 5
-    held_out = part == 4
-    if len(set(y[~held_out])) < 2 or len(set(y[held_out])) < 2:
-        held_out = np.zeros(len(y), bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(x, pa.list_(pa.float64()))], names=["rg_id", "y", "held", "x"])
+
+    got: pd.DataFrame = rows.select("rg_id", "rg_text", "rg_y", "rg_held").mapInArrow(measure, "rg_id long, y int, held boolean, x array<double>").toPandas()
+    got["key"] = [tuple(v) for v in got.x]
+    got = got.sort_values(["rg_id", "y", "key"])
+    x, y = np.array(got.x.tolist(), float), np.minimum(got.y.to_numpy(float), 1)
+    held_out = got.held.to_numpy(bool) if apart else np.zeros(len(y), bool)
     trees = Boosted().fit(x[~held_out], y[~held_out])
     on = held_out if held_out.any() else ~held_out
     return ToxicityModel(stems, trees, isotonic(trees.score(x[on]), y[on]), prior)
@@ -231,7 +235,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, toxicity (calibrated probability, 4 decimals), is_toxic for every row; one pass, no shuffle.
 
-    A null or empty text has the features of no words. Rows with one doc_id or a null one each give a row.
+    A null or empty text has the features of no words; a text of any length is read whole. Rows with one
+    doc_id or a null one each give a row; an empty table gives none. Other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

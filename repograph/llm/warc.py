@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import re
 import uuid
 import zlib
@@ -23,7 +25,7 @@ _RECORDS = "file string, start long, end long, kind string, uri string, record_i
 
 
 def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
-    """One WARC response record, uncompressed. A null id, address or body leaves out its header or says so."""
+    """One WARC resource record, uncompressed. A null id, address or body leaves out its header or says so."""
     body = (html or "").encode("utf-8", "surrogatepass")
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}:{url}")
     head = ["WARC/1.1", "WARC-Type: resource", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 2024-01-01T00:00:00Z", "Content-Type: text/html"]
@@ -31,7 +33,7 @@ def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
         head.append(f"WARC-Target-URI: {_one_line(url)}")
     if page_id is not None:
         head.append(f"WARC-Page-ID: {page_id}")
-    head += ["WARC-Null-Payload: true"] * (html is None) + [f"WARC-Payload-CRC: {zlib.crc32(body)}", f"Content-Length: {len(body)}"]
+    head += ["WARC-Null-Payload: true"] * (html is None) + [f"WARC-Block-Digest: sha1:{base64.b32encode(hashlib.sha1(body).digest()).decode()}", f"Content-Length: {len(body)}"]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -59,7 +61,7 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int] | None:
         name, colon, value = line.partition(b":")
         if not colon:
             return None
-        headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "surrogatepass" if b"\xed" in value else "replace").strip()
+        headers[name.decode("utf-8", "replace").strip().lower()] = _decoded(value).strip()
     size = headers.get("content-length", "")
     if not size.isascii() or not size.isdigit() or "warc-type" not in headers:
         return None
@@ -67,11 +69,40 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int] | None:
     if data[end : end + 4] != b"\r\n\r\n":
         return None
     body = data[stop + 4 : end]
-    if "warc-payload-crc" in headers and headers["warc-payload-crc"] != str(zlib.crc32(body)):
+    if any(_digest_holds(headers[name], body) is False for name in _digests(headers)):
         return None
     return headers, body, end + 4
 
 
+def _decoded(value: bytes) -> str:
+    try:
+        return value.decode("utf-8", "surrogatepass")
+    except UnicodeDecodeError:
+        return value.decode("utf-8", "replace")
+
+
+def _digests(headers: dict[str, str]) -> list[str]:
+    """The digests that are of the whole body; the payload of an HTTP message is a part of it that writers differ about."""
+    http = headers.get("content-type", "").lower().startswith("application/http")
+    return [n for n in ("warc-block-digest", *(() if http else ("warc-payload-digest",))) if n in headers]
+
+
+def _digest_holds(value: str, body: bytes) -> bool | None:
+    """Whether 'algorithm:base 32 or hex' is body's digest; None if the algorithm is not known."""
+    algorithm, _, want = value.partition(":")
+    algorithm = algorithm.strip().lower().replace("-", "")
+    if algorithm not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    got, want = hashlib.new(algorithm, body).digest(), want.strip()
+    return want.lower() == got.hex() or want.upper().rstrip("=") == base64.b32encode(got).decode().rstrip("=")
+
+
+def _page(headers: dict[str, str]) -> int | None:
+    """Our own header as a long; null where it is none."""
+    value = headers.get("warc-page-id", "")
+    return int(value) if re.fullmatch(r"-?[0-9]{1,19}", value) and -(2**63) <= int(value) < 2**63 else None
+
+
 class _Window:
     """Reads of a file by position, a buffer at a time."""
 
@@ -155,7 +186,7 @@ def _records(pieces: Iterator[bytes], proven: bool) -> Iterator[tuple[int, int,
             need = stop + 8 + int(m[1])
             continue
         r = parse(bytes(data[: stop + 8 + int(m[1])])) if m else None
-        if r and (proven or "warc-payload-crc" in r[0]):
+        if r and (proven or any(_digest_holds(r[0][n], r[1]) for n in _digests(r[0]))):
             yield base, base + r[2], r[0], r[1]
         cut = r[2] if r else 1
         del data[:cut]
@@ -212,7 +243,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """A row for each sound record below path (*.warc.gz, *.warc).
 
     file, start, end (bytes in the file), kind, uri, record_id, date, page_id (our own header, else
-    null), payload (null if the record says so), inner_start, inner_end, inner_size (see salvage). Compressed files are read in splits: a record belongs
+    null, also if it is no long), payload (null if the record says so), headers that are not UTF-8 with
+    replacement characters; a record whose block digest (or payload digest, but for HTTP messages) fails is
+    quarantined, inner_start, inner_end, inner_size (see salvage). Compressed files are read in splits: a record belongs
     to the split its member begins in. Uncompressed files are read by one task each, since a payload may
     itself hold version lines. Empty files and folders give no rows; headers that repeat keep the last.
     """
@@ -225,9 +258,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 rows, held = [], 0
                 with fs.open_input_file(name) as f:
                     for start, end, a, b, inner, h, body in salvage(_Window(f, row["size"]), row["start"], row["stop"], name.endswith(".gz")):
-                        page = h.get("warc-page-id")
                         uri = h.get("warc-target-uri")
-                        rows.append({"file": row["file"], "start": start, "end": end, "kind": h["warc-type"], "uri": None if uri is None else _as_it_was(uri), "record_id": h.get("warc-record-id"), "date": h.get("warc-date"), "page_id": int(page) if page else None, "payload": None if "warc-null-payload" in h else body, "inner_start": a, "inner_end": b, "inner_size": inner})
+                        rows.append({"file": row["file"], "start": start, "end": end, "kind": h["warc-type"], "uri": None if uri is None else _as_it_was(uri), "record_id": h.get("warc-record-id"), "date": h.get("warc-date"), "page_id": _page(h), "payload": None if "warc-null-payload" in h else body, "inner_start": a, "inner_end": b, "inner_size": inner})
                         held += len(body)
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
@@ -293,7 +325,8 @@ def write_warc(pages: DataFrame, path: str, torn_before: str | None = None) -> D
 def round_trip(pages: DataFrame, torn_before: str | None = None) -> DataFrame:
     """page_id, url, html, gaps_before of every page, written to WARC and read back; gaps_before counts quarantined ranges.
 
-    Nulls, empty and very long pages and repeated rows come back as they were.
+    Nulls, empty and very long pages and repeated rows come back as they were; an empty table gives no
+    rows. Other columns, whatever their names, are not read.
     """
     spark = pages.sparkSession
     path = work_path(spark, "warc")
