@@ -7,10 +7,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, staged
+from .common import documents, small, staged
 from .components import components
 
 THRESHOLD = 0.95
@@ -120,10 +120,11 @@ def _edges_of(raw: DataFrame, dim: int, threshold: float, subspaces: int, codes:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "x"])
 
     units = raw.filter((F.size("v") == dim) & ~F.exists("v", lambda e: e.isNull())).mapInArrow(unit, "id long, x binary")
-    same = Window.partitionBy("x").orderBy("id")
-    ranked = staged(units.withColumn("rep", F.first("id").over(same)).withColumn("nth", F.row_number().over(same)), "pq-units")
-    exact = ranked.filter("nth > 1 AND id != rep").select(F.col("rep").alias("src"), F.col("id").alias("dst")).distinct()
-    rows = staged(ranked.filter("nth = 1").select("id", "x"), "pq-distinct")
+    units = staged(units.withColumn("print", F.sha2("x", 256)), "pq-units")
+    # equal vectors by aggregation and a join, so that no task holds all of a hot one; the fingerprint stands for the vector
+    same = staged(units.groupBy("print").agg(F.min("id").alias("rep"), F.count("*").alias("held")), "pq-same")
+    exact = units.select("print", "id").join(small(same.filter("held > 1").select("print", "rep"), 96), "print").filter("id != rep").select(F.col("rep").alias("src"), F.col("id").alias("dst")).distinct()
+    rows = staged(units.groupBy("print").agg(F.min("id").alias("id"), F.first("x").alias("x")).select("id", "x"), "pq-distinct")
     n = rows.count()
     if n < 2:
         return exact
