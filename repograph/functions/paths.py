@@ -18,6 +18,11 @@ CONFIG_ENDS = (".yml", ".yaml", ".json", ".toml", ".csproj", ".props", ".targets
 GENERATED_ENDS = (".designer.cs", ".g.cs", ".generated.cs", ".min.js", ".bundle.js", ".map")
 LOCKFILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "cargo.lock")
 PER_FILE_TOKENS = 8
+FENCES = {"other": "text"}
+ROUTE_ROLES = {"+page": "page", "+layout": "layout", "+server": "endpoint", "+error": "error"}
+ALIASES = {"c#": "csharp", "cs": "csharp", "rs": "rust", "py": "python", "js": "javascript", "ts": "typescript", "sh": "bash", "shell": "bash", "yml": "yaml", "md": "markdown"}
+KINDS = ("class", "record", "struct", "interface", "enum", "method", "constructor", "function", "trait", "module", "type", "component", "key")
+KIND_ALIASES = {"func": "function", "fn": "function", "mod": "module", "typealias": "type", "ctor": "constructor"}
 
 
 def _any(parts: list[Column]) -> Column:
@@ -138,3 +143,60 @@ def ancestors(path: Column) -> Column:
     parts = F.split(parent_dir(path), "/")
     dirs = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     return F.array_distinct(F.concat(F.array(F.lit("")), dirs))
+
+
+def route_role(path: Column) -> Column:
+    """page, layout, endpoint or error of a route file; null of others."""
+    base = F.split_part(F.lower(basename(path)), F.lit("."), F.lit(1))
+    out = F.when(F.lit(False), F.lit(""))
+    for name, role in ROUTE_ROLES.items():
+        out = out.when(base == name, F.lit(role))
+    return out
+
+
+def is_jsx(path: Column) -> Column:
+    return _any([F.lower(path).endswith(e) for e in (".tsx", ".jsx")])
+
+
+def starts_upper(name: Column) -> Column:
+    return name.rlike(r"^\p{Lu}")
+
+
+def language_enabled(lang: Column, enabled: tuple[str, ...] = tuple(LANGUAGES)) -> Column:
+    """Whether a language is switched on; other never is."""
+    return lang.isin(*[e for e in enabled if e != "other"])
+
+
+def language_named(text: Column) -> Column:
+    """The language that a word names, by name or alias in any case of letters; null if it names none."""
+    word = ascii_lower(text)
+    out = F.when(word.isin(*LANGUAGES, "other"), word)
+    for alias, name in ALIASES.items():
+        out = out.when(word == alias, F.lit(name))
+    return out
+
+
+def kind_named(text: Column) -> Column:
+    """The symbol kind that a word names; null if it names none."""
+    word = ascii_lower(text)
+    out = F.when(word.isin(*KINDS), word)
+    for alias, name in KIND_ALIASES.items():
+        out = out.when(word == alias, F.lit(name))
+    return out
+
+
+def fence(text: Column) -> Column:
+    return F.repeat(F.lit("`"), fence_length(text))
+
+
+def escape_cell(text: Column) -> Column:
+    return F.replace(text, F.lit("|"), F.lit("\\|"))
+
+
+def grouped(n: Column) -> Column:
+    """A whole number with commas between thousands."""
+    return F.format_number(n, 0)
+
+
+def slashes(path: Column) -> Column:
+    return F.replace(path, F.lit("\\"), F.lit("/"))

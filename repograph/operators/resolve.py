@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors, parent_dir
+from ..functions.paths import ancestors, ci_equals, parent_dir
 
 INTERFACES = ("interface", "trait")
 
@@ -16,15 +16,17 @@ def first_declarations(symbols: DataFrame) -> DataFrame:
     return symbols.withColumn("rg_nth", F.row_number().over(w)).filter("rg_nth = 1").drop("rg_nth")
 
 
-def cascade(raw: DataFrame, symbols: DataFrame) -> DataFrame:
+def cascade(raw: DataFrame, symbols: DataFrame, names: Column | None = None) -> DataFrame:
     """src, dst and raw's other columns: raw (file_path, from, to, ...) against symbols by name.
 
     Targets in the referrer's file win; else those strictly below its directory; else all of that name.
-    Staged, so that only names that stay unresolved reach the join over all files.
+    Staged, so that only names that stay unresolved reach the join over all files. Each (src, to) is
+    resolved by itself, so a condition on raw restricts the result without changing it; names (over the
+    columns of symbols) restricts the targets likewise, if it holds for all symbols of a name or for none.
     """
     extra = [c for c in raw.columns if c not in ("file_path", "from", "to")]
     decl = first_declarations(symbols).select("file_path", F.col("name").alias("from"), F.col("id").alias("src"))
-    targets = symbols.select(F.col("name").alias("to"), F.col("id").alias("dst"), F.col("file_path").alias("t_file"), F.col("kind").alias("t_kind"))
+    targets = (symbols if names is None else symbols.filter(names)).select(F.col("name").alias("to"), F.col("id").alias("dst"), F.col("file_path").alias("t_file"), F.col("kind").alias("t_kind"))
     base = raw.filter(F.col("from") != "").distinct().join(decl, ["file_path", "from"]).join(targets.select("to").distinct(), "to", "left_semi")
     keys = ["src", "to", *extra]
     out = [*keys, "dst", "t_kind"]
@@ -37,13 +39,23 @@ def cascade(raw: DataFrame, symbols: DataFrame) -> DataFrame:
     return in_file.unionByName(in_dir).unionByName(anywhere)
 
 
-def resolve_references(raw: DataFrame, symbols: DataFrame) -> DataFrame:
-    return cascade(raw.select("file_path", "from", "to"), symbols).select("src", "dst").distinct()
+def resolve_references(raw: DataFrame, symbols: DataFrame, name: str | None = None) -> DataFrame:
+    """src, dst; with a name, only the edges to symbols of that name, for which no other name is resolved."""
+    raw = raw.select("file_path", "from", "to")
+    if name is None:
+        return cascade(raw, symbols).select("src", "dst").distinct()
+    return cascade(raw.filter(ci_equals(F.col("to"), name)), symbols, ci_equals(F.col("name"), name)).select("src", "dst").distinct()
 
 
-def resolve_supertypes(raw: DataFrame, symbols: DataFrame) -> DataFrame:
-    """src, dst, kind; an unknown hint implements interfaces and traits and inherits the rest."""
-    met = cascade(raw.select("file_path", "from", "to", "hint"), symbols)
+def resolve_supertypes(raw: DataFrame, symbols: DataFrame, name: str | None = None) -> DataFrame:
+    """src, dst, kind; an unknown hint implements interfaces and traits and inherits the rest.
+
+    With a name, only the edges from or to symbols of that name.
+    """
+    raw = raw.select("file_path", "from", "to", "hint")
+    if name is not None:
+        raw = raw.filter(ci_equals(F.col("from"), name) | ci_equals(F.col("to"), name))
+    met = cascade(raw, symbols)
     kind = F.when(F.col("hint") != "unknown", F.col("hint")).when(F.col("t_kind").isin(*INTERFACES), F.lit("implements")).otherwise(F.lit("inherits"))
     return met.select("src", "dst", kind.alias("kind")).distinct()
 
@@ -53,6 +65,19 @@ def exact_imports(imports: DataFrame, packages: DataFrame) -> DataFrame:
     return imports.join(packages.select(F.col("name").alias("package"), F.col("id").alias("package_id")), "package").select("file_path", "package_id").distinct()
 
 
+def resolve_imports(imports: DataFrame, packages: DataFrame) -> DataFrame:
+    """file_path, package_id of imports (file_path, language, package).
+
+    A JavaScript or TypeScript import is an npm package of that name; a C# namespace is the nuget package
+    whose name is its longest dotted prefix; other languages' imports name no package.
+    """
+    npm = exact_imports(imports.filter(F.col("language").isin("javascript", "typescript")), packages.filter("ecosystem = 'npm'"))
+    nuget = packages.filter("ecosystem = 'nuget'")
+    spaces = imports.filter("language = 'csharp'").select("file_path", F.col("package").alias("name")).distinct().withColumn("use", F.struct("file_path", "name"))
+    met = longest_prefix(spaces.select("use", "name"), nuget, "use").join(nuget.select(F.col("name").alias("package"), F.col("id").alias("package_id")), "package")
+    return npm.unionByName(met.select("use.file_path", "package_id")).distinct()
+
+
 def longest_prefix(names: DataFrame, packages: DataFrame, key: str) -> DataFrame:
     """key, package: the longest package name that equals a dotted name (column name) or begins it at a dot."""
     parts = F.split("name", r"\.")

@@ -11,18 +11,27 @@ from ..functions import paths as P
 from ..operators import graph as G
 from ..operators import ranking as R
 from ..operators import resolve as J
+from ..sources.scan import described, path_matches
 from . import selection as S
-from .corpus import GRAPH_SQL, Graph, cascade_sql, language_sql, low, parent_sql
+from .corpus import GRAPH_SQL, Graph, _list, language_sql, low, parent_sql, pick
+from .examples import CATALOG as EXAMPLES
 
-PREFIX, NAME, TEXT = "src0/en", "small widget", "src1/"
+PREFIX, NAME, TEXT, IMPORTED = "src0/en", "small widget", "src1/", "Supplier#000000002"
+ROUTES = ("+page.svelte", "+layout.ts", "+Server.js", "+error.svelte", "page.tsx", "+pages.jsx", "x.TSX")
+WORDS = ("Rust", "rs", "C#", "ctor", "class", "Éa", "other", "rust")
+RELATIVE = ("..\\.\\x", "../../../x", "a/../b//c", "./d", "../../../../y/./z")
 
 
-def _refs(g: Graph) -> DataFrame:
-    return J.resolve_references(g.raw_references(), g.symbols())
+def _routes(g: Graph) -> DataFrame:
+    return g.table("nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"), F.lit("/"), pick(ROUTES, F.col("n_nationkey"))).alias("path"))
 
 
-def _supers(g: Graph) -> DataFrame:
-    return J.resolve_supertypes(g.raw_supertypes(), g.symbols())
+def _refs(g: Graph, name: str | None = None) -> DataFrame:
+    return J.resolve_references(g.raw_references(), g.symbols(), name)
+
+
+def _supers(g: Graph, name: str | None = None) -> DataFrame:
+    return J.resolve_supertypes(g.raw_supertypes(), g.symbols(), name)
 
 
 def _doc_index(g: Graph) -> DataFrame:
@@ -174,7 +183,13 @@ _CATALOG: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
     "p19_heading_text": (_heading_lines, r"SELECT doc_id, CAST(i AS INTEGER) AS line_no, regexp_replace(trim(regexp_replace(trim(line), '#+$', '')), '\s+', ' ', 'g') AS title FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)"),
     "p21_token_cost": (lambda g: g.doc_files().select("path", P.estimate_tokens(F.col("text")).alias("tokens"), P.file_cost(P.estimate_tokens(F.col("text"))).alias("cost")), _order("SELECT path, t AS tokens, CASE WHEN t = 0 THEN CAST(0 AS BIGINT) ELSE t + 8 END AS cost FROM (SELECT path, CASE WHEN length(text) = 0 THEN CAST(0 AS BIGINT) ELSE greatest(1, length(text) // 4) END AS t FROM doc_files)")),
     "p25_fence_length": (lambda g: g.doc_files().select("path", P.fence_length(F.col("text")).alias("fence")), _order("SELECT path, CAST(greatest(2, coalesce(list_max([length(x) for x in regexp_extract_all(text, '`+')]), 0)) + 1 AS INTEGER) AS fence FROM doc_files")),
-    "p16_resolve_rel": (lambda g: g.doc_files().select("path", P.normal_path(F.concat(P.parent_dir(F.col("path")), F.lit("\\..\\.\\x"))).alias("resolved")), _order("SELECT path, split_part(path, '/', 1) || '/x' AS resolved FROM doc_files")),
+    "p16_resolve_rel": (lambda g: g.doc_files().select("path", P.normal_path(F.concat(P.parent_dir(F.col("path")), F.lit("/"), pick(RELATIVE, F.col("doc_id")))).alias("resolved")), _order(f"SELECT path, CASE doc_id % 5 WHEN 0 THEN split_part(path, '/', 1) || '/x' WHEN 1 THEN 'x' WHEN 2 THEN {parent_sql('path')} || '/b/c' WHEN 3 THEN {parent_sql('path')} || '/d' ELSE 'y/z' END AS resolved FROM doc_files")),
+    "p3_route_roles": (lambda g: _routes(g).select("path", P.route_role(F.col("path")).alias("role"), P.is_jsx(F.col("path")).alias("jsx")), "SELECT path, CASE split_part(lower(regexp_extract(path, '([^/]*)$', 1)), '.', 1) WHEN '+page' THEN 'page' WHEN '+layout' THEN 'layout' WHEN '+server' THEN 'endpoint' WHEN '+error' THEN 'error' END AS role, ends_with(lower(path), '.tsx') OR ends_with(lower(path), '.jsx') AS jsx FROM (SELECT 'n' || n_nationkey || '/' || " + _list(ROUTES) + "[n_nationkey % 7 + 1] AS path FROM nation)"),
+    "p20_p30_names": (lambda g: g.table("part").select("p_partkey", P.starts_upper(pick(WORDS, F.col("p_partkey"))).alias("upper"), P.language_named(pick(WORDS, F.col("p_partkey"))).alias("language"), P.kind_named(pick(WORDS, F.col("p_partkey"))).alias("kind"), P.language_enabled(pick(WORDS, F.col("p_partkey")), ("rust", "other")).alias("enabled")), f"SELECT p_partkey, regexp_matches(w, '^\\p{{Lu}}') AS upper, CASE lower(w) WHEN 'rs' THEN 'rust' WHEN 'c#' THEN 'csharp' WHEN 'rust' THEN 'rust' WHEN 'other' THEN 'other' END AS language, CASE lower(w) WHEN 'ctor' THEN 'constructor' WHEN 'class' THEN 'class' WHEN 'fn' THEN 'function' END AS kind, w = 'rust' AS enabled FROM (SELECT p_partkey, {_list(WORDS)}[p_partkey % 8 + 1] AS w FROM part)"),
+    "p24_p28_texts": (lambda g: g.table("documents").select("doc_id", P.escape_cell(F.concat("source", F.lit("|"), "lang")).alias("cell"), P.fence(F.col("text")).alias("fence"), P.grouped(F.col("n_chars") * 1000).alias("shown"), P.slashes(F.concat("source", F.lit("\\"), "lang")).alias("path")), "SELECT doc_id, source || '\\|' || lang AS cell, repeat('`', CAST(greatest(2, coalesce(list_max([length(x) for x in regexp_extract_all(text, '`+')]), 0)) + 1 AS INTEGER)) AS fence, format('{:,}', n_chars * 1000) AS shown, source || '/' || lang AS path FROM documents"),
+    "s3_globs": (lambda g: g.doc_files().filter(path_matches(F.col("path"), ("**/*.ts", "src[12]/*.rs", "**/doc_?.{md,go}"), ("src2/**", "**/*5.ts"))).select("path"), _order("SELECT path FROM doc_files WHERE regexp_matches(path, '(\\.ts$)|(^src[12]/.*\\.rs$)|((^|/)doc_.\\.(md|go)$)') AND NOT starts_with(path, 'src2/') AND NOT ends_with(path, '5.ts')")),
+    "s4_s5_read": (lambda g: described(g.table("documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.encode("text", "UTF-8"), F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))).alias("content"))).select("path", F.sha2("text", 256).alias("text_hash"), "hash", "size_bytes"), "SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text || CASE WHEN doc_id % 2 = 0 THEN chr(65533) ELSE '' END) AS text_hash, sha256(CASE WHEN doc_id % 2 = 0 THEN encode(text) || unhex('FF') ELSE encode(text) END) AS hash, CAST(octet_length(encode(text)) + CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS size_bytes FROM documents"),
+    "s6_s7_lookup": (lambda g: G.files_matching(g.doc_files()).filter(F.col("path") == _seed_path(g)).select("path", "language"), _order(f"SELECT path, language FROM doc_files WHERE path = {_SEED}")),
     "f1_symbols_matching": (lambda g: G.symbols_matching(g.symbols(), "WIDGET", kind="class").select("id", "name", "file_path"), _order(f"SELECT id, name, file_path FROM symbols WHERE contains({low('name')}, 'widget') AND kind = 'class'")),
     "f2_files_matching": (lambda g: G.files_matching(g.doc_files(), "SRC1", "rust").select("path"), _order(f"SELECT path FROM doc_files WHERE contains({low('path')}, 'src1') AND language = 'rust'")),
     "f3_packages": (lambda g: G.packages_matching(g.packages(), "SUPP", "NPM").select("id", "name", "shown"), _order(f"SELECT id, name, CASE WHEN version = '' THEN '(unversioned)' ELSE version END AS shown FROM packages WHERE contains({low('name')}, 'supp') AND ecosystem = 'npm'")),
@@ -183,25 +198,24 @@ _CATALOG: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
     "j2_first_declarations": (lambda g: J.first_declarations(g.symbols()).select("file_path", "name", "id"), _order("SELECT file_path, name, id FROM (SELECT *, row_number() OVER (PARTITION BY file_path, name ORDER BY start_line, end_line, id) AS nth FROM symbols) WHERE nth = 1")),
     "j4_resolve_supertypes": (_supers, _order("SELECT * FROM supers")),
     "j5_resolve_references": (_refs, _order("SELECT * FROM refs")),
-    "j6_exact_imports": (lambda g: J.exact_imports(g.raw_imports(), g.packages()), _order("SELECT DISTINCT i.file_path, p.id AS package_id FROM raw_imports i JOIN packages p ON p.name = i.package")),
     "j7_longest_prefix": (lambda g: J.longest_prefix(_hosts(g).withColumnRenamed("host", "name"), _host_packages(g), "page_id"), r"""WITH h AS (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages), p AS (SELECT regexp_extract(host, '^([^.]+\.[^.]+)', 1) AS name FROM h UNION SELECT split_part(host, '.', 1) FROM h)
         SELECT page_id, name AS package FROM (SELECT page_id, name, row_number() OVER (PARTITION BY page_id ORDER BY length(name) DESC) AS nth FROM h JOIN p ON host = name OR starts_with(host, name || '.')) WHERE nth = 1"""),
     "j8_nearest_owner": (lambda g: J.nearest_owner(_customer_files(g), _manifests(g)), _order(f"SELECT path, manifest FROM (SELECT a.path, m.manifest, row_number() OVER (PARTITION BY a.path ORDER BY a.depth DESC, m.manifest DESC) AS nth FROM ({_ANC}) a JOIN manifests m ON {parent_sql('m.manifest')} = a.dir) WHERE nth = 1", _CUSTOMERS)),
     "j9_central_versions": (lambda g: J.central_value(_customer_files(g).select("path", F.col("c_mktsegment").alias("name"), F.when(F.col("c_custkey") % 4 == 0, "inline").alias("v")), _pins(g), F.col("v")), _order(f"SELECT cf.path, cf.c_mktsegment AS name, CASE WHEN cf.c_custkey % 4 = 0 THEN 'inline' ELSE coalesce(replace(o.manifest, 'p.csproj', 'Directory.Packages.props') || '@' || cf.c_mktsegment, '') END AS value FROM cf LEFT JOIN (SELECT path, manifest FROM (SELECT a.path, m.manifest, row_number() OVER (PARTITION BY a.path ORDER BY a.depth DESC) AS nth FROM ({_ANC}) a JOIN manifests m ON {parent_sql('m.manifest')} = a.dir) WHERE nth = 1) o ON o.path = cf.path", _CUSTOMERS)),
-    "j11_symbol_references": (lambda g: G.symbol_references(_refs(g), g.symbols(), NAME), _order(_SYMBOL_REFS)),
-    "j12_type_relations": (lambda g: G.type_relations(_supers(g), g.symbols(), NAME), _order(_TYPE_RELATIONS)),
-    "j13_files_importing": (lambda g: G.files_importing(J.exact_imports(g.raw_imports(), g.packages()), g.packages(), "Supplier#000000001"), _order("SELECT DISTINCT file_path AS path FROM raw_imports WHERE package = 'Supplier#000000001'")),
+    "j11_symbol_references": (lambda g: G.symbol_references(_refs(g, NAME), g.symbols(), NAME), _order(_SYMBOL_REFS)),
+    "j12_type_relations": (lambda g: G.type_relations(_supers(g, NAME), g.symbols(), NAME), _order(_TYPE_RELATIONS)),
+    "j13_files_importing": (lambda g: G.files_importing(J.resolve_imports(g.raw_imports(), g.packages()), g.packages(), IMPORTED), _order(f"SELECT DISTINCT file_path AS path FROM raw_imports i JOIN packages p ON p.name = i.package AND p.ecosystem = CASE i.language WHEN 'typescript' THEN 'npm' WHEN 'csharp' THEN 'nuget' END WHERE i.package = '{IMPORTED}'")),
     "j14_siblings": (lambda g: G.siblings(_doc_contains(g), _doc_projects(g), _seed_path(g)), _order(f"SELECT path, 'same project (' || split_part(path, '/', 1) || ')' AS reason, 1 AS depth FROM doc_files WHERE split_part(path, '/', 1) = split_part({_SEED}, '/', 1) AND path <> {_SEED}")),
-    "j15_related_to_symbol": (lambda g: G.related_to_symbol(g.symbols(), _refs(g), NAME), _order(f"{_RELATED} UNION ALL SELECT * FROM ({_SYMBOL_REFS}) WHERE path NOT IN (SELECT file_path FROM symbols WHERE {_NAMED})")),
+    "j15_related_to_symbol": (lambda g: G.related_to_symbol(g.symbols(), _refs(g, NAME), NAME), _order(f"{_RELATED} UNION ALL SELECT * FROM ({_SYMBOL_REFS}) WHERE path NOT IN (SELECT file_path FROM symbols WHERE {_NAMED})")),
     "a1_stats": (_stats, _order("SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM projects) AS projects, (SELECT count(*) FROM packages) AS packages, (SELECT count(*) FROM uses_package) AS edges, (SELECT count(*) FROM refs) AS reference_edges")),
     "a3_last_writer": (_last_version, _order("SELECT id, p_brand, l_orderkey FROM (SELECT k.id, p_brand, l_orderkey, row_number() OVER (PARTITION BY k.id ORDER BY p_brand DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC) AS nth FROM lines JOIN packages k ON k.key = l_suppkey) WHERE nth = 1")),
     "a4_distinct_symbols": (lambda g: G.distinct_symbols(g.symbols()), _order("SELECT file_path, name, start_line, kind, end_line, id FROM (SELECT *, row_number() OVER (PARTITION BY file_path, name, start_line, kind ORDER BY end_line, id) AS nth FROM symbols) WHERE nth = 1")),
     "a8_budget_fit": (lambda g: R.budget_fit(g.doc_files().select("path", F.lit(1).alias("tier"), P.estimate_tokens(F.col("text")).alias("tokens"))), None),
     "q1_pack_changed": (lambda g: S.pack_changed(g.doc_files(), _status(g)), _order("SELECT path, tier, reason FROM chosen", _DOC_OLD + _select_sql("doc_files", "SELECT coalesce(n.path, o.path) AS path, 0 AS tier, false AS explicit, 'changed file' AS reason, 0 AS g, coalesce(n.path, o.path) AS k FROM now n FULL JOIN old o ON n.path = o.path WHERE n.hash IS DISTINCT FROM o.hash"))),
     "q2_pack_path": (lambda g: S.pack_path(g.doc_files(), PREFIX), _order("SELECT path, tier, reason FROM chosen", _CHOSEN_PATH)),
-    "q3_pack_symbol": (lambda g: S.pack_symbol(g.files(), g.symbols(), _refs(g), NAME), _order("SELECT path, tier, reason FROM chosen", _select_sql("files", f"SELECT DISTINCT file_path AS path, 0 AS tier, true AS explicit, 'declares `{NAME}`' AS reason, 0 AS g, file_path AS k FROM symbols WHERE {_NAMED} UNION ALL SELECT path, 1, false, reason, 2, path FROM ({_SYMBOL_REFS}) WHERE path NOT IN (SELECT file_path FROM symbols WHERE {_NAMED})"))),
+    "q3_pack_symbol": (lambda g: S.pack_symbol(g.files(), g.symbols(), _refs(g, NAME), NAME), _order("SELECT path, tier, reason FROM chosen", _select_sql("files", f"SELECT DISTINCT file_path AS path, 0 AS tier, true AS explicit, 'declares `{NAME}`' AS reason, 0 AS g, file_path AS k FROM symbols WHERE {_NAMED} UNION ALL SELECT path, 1, false, reason, 2, path FROM ({_SYMBOL_REFS}) WHERE path NOT IN (SELECT file_path FROM symbols WHERE {_NAMED})"))),
     "q4_pack_query": (lambda g: S.pack_query(g.doc_files(), g.symbols(), TEXT), _order("SELECT path, tier, reason FROM chosen", _select_sql("doc_files", f"SELECT path, 1 AS tier, true AS explicit, 'path matches `{TEXT}`' AS reason, 0 AS g, path AS k FROM doc_files WHERE contains({low('path')}, '{TEXT}') UNION ALL SELECT DISTINCT file_path, 1, true, 'declares symbol matching `{TEXT}`', 1, file_path FROM symbols WHERE contains({low('name')}, '{TEXT}')"))),
-    "q6_related_symbol": (lambda g: S.related_symbol(g.files(), g.symbols(), g.contains(), g.projects(), _supers(g), _refs(g), NAME), _order("", ", seeds AS (SELECT DISTINCT file_path AS path FROM symbols WHERE " + _NAMED + ")" + _final_sql("files", f"""SELECT path, 'declares `{NAME}`' AS reason, 0 AS depth, 0 AS seq FROM seeds
+    "q6_related_symbol": (lambda g: S.related_symbol(g.files(), g.symbols(), g.contains(), g.projects(), _supers(g, NAME), _refs(g, NAME), NAME), _order("", ", seeds AS (SELECT DISTINCT file_path AS path FROM symbols WHERE " + _NAMED + ")" + _final_sql("files", f"""SELECT path, 'declares `{NAME}`' AS reason, 0 AS depth, 0 AS seq FROM seeds
         UNION ALL SELECT DISTINCT c.path, 'same project (' || p.name || ')', 1, 1 FROM contains_file c JOIN contains_file s ON s.project_id = c.project_id JOIN seeds ON seeds.path = s.path JOIN projects p ON p.id = c.project_id WHERE c.path <> s.path
         UNION ALL SELECT path, reason, depth, 2 FROM ({_TYPE_RELATIONS}) UNION ALL SELECT path, reason, depth, 3 FROM ({_SYMBOL_REFS})
         UNION ALL SELECT path, CASE WHEN {_test_sql('path')} THEN 'test file in the same directory' WHEN {_ends_sql('path', P.CONFIG_ENDS)} THEN 'config/registration file in the area' ELSE 'same directory as a declaring file' END, 1, 4 FROM files WHERE {parent_sql('path')} IN (SELECT {parent_sql('path')} FROM seeds)
@@ -214,6 +228,8 @@ _CATALOG: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {
     "s12_live_edges": (_deleted, _order("SELECT DISTINCT r.src, r.dst FROM refs r JOIN symbols a ON a.id = r.src JOIN symbols b ON b.id = r.dst WHERE a.start_line % 5 <> 0 AND b.start_line % 5 <> 0")),
 }
 
+_CATALOG |= EXAMPLES
+
 _FOLD = f"""sized AS (SELECT path, tier, CASE WHEN length(text) = 0 THEN CAST(0 AS BIGINT) ELSE greatest(1, length(text) // 4) END AS tokens FROM picked),
 numbered AS (SELECT *, CASE WHEN tokens = 0 THEN 0 ELSE tokens + 8 END AS cost, row_number() OVER (ORDER BY tier, path) AS rn FROM sized),
 fold AS (SELECT rn, path, tier, tokens, cost <= {R.BUDGET} AS included, CASE WHEN cost <= {R.BUDGET} THEN cost ELSE 0 END AS used FROM numbered WHERE rn = 1
