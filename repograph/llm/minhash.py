@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -19,6 +20,8 @@ SHINGLE, THRESHOLD = 3, 0.5
 #: collection's key i and the second's key j: SIDE * SIDE tables of 2 * ROWS minhashes from 2 * SIDE * ROWS
 #: minhashes (72) instead of 2 * SIDE * SIDE * ROWS (864).
 SIDE, ROWS = 12, 3
+#: Keys of tables that a shard compares at once, about.
+SHARD_KEYS = 2_000_000
 
 
 def _multipliers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +136,83 @@ def _relabelled(comp: DataFrame | None, near: DataFrame) -> DataFrame | None:
     return staged(moved.unionByName(joined.join(comp.select(F.col("node").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("root").alias("comp"))), "minhash-comp")
 
 
+def table_keys(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The keys of all tables, text x side * side: table (i, j) joins key i of the one and key j of the other collection."""
+    n, side = u.shape
+    table = np.arange(side * side, dtype=np.uint64).reshape(1, side, side)
+    return mix(mix(u[:, :, None] * np.uint64(0x9E3779B97F4A7C15) + table) ^ v[:, None, :]).reshape(n, side * side)
+
+
+def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each batch of texts."""
+    block = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        if batch.num_rows:
+            columns = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), *(batch.column(i).flatten().to_numpy() for i in (2, 3))]
+            yield pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([np.ascontiguousarray(c).tobytes()], pa.binary()) for c in columns)], names=["block", "nodes", "sizes", "u", "v"])
+            block += 1
+
+
+def _block_keys(u: bytes, v: bytes, n: int) -> np.ndarray:
+    return table_keys(*(np.frombuffer(x, np.uint64).reshape(n, -1) for x in (u, v)))
+
+
+def _shard_starts(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where the keys of each shard begin among sorted keys; shards are equal ranges of the keys' upper halves."""
+    shard = (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+    return np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+
+
+def _shared_keys(classes: DataFrame) -> DataFrame:
+    """node, size, key of the keys that several nodes have, and of a few others (by chance one in thousands).
+
+    Most keys are one node's alone and needn't move as rows. A block of nodes sends each shard of the keys
+    the lower halves of its distinct keys there, as one value; the shard answers with a bit for each, set if
+    another block sent the same. A key of a hot bucket is one entry a block, and a shard holds about
+    SHARD_KEYS entries. There are never more values than keys, so this grows as the input does.
+    """
+    payload = ["block", "nodes", "sizes", "u", "v"]
+    blocks = staged(classes.select("node", "size", "u", "v").mapInArrow(_to_blocks, "block long, nodes binary, sizes binary, u binary, v binary"), "minhash-blocks")
+    shards = max(1, -(-(blocks.agg(F.sum(F.length("u") * F.length("v") / F.length("nodes") / 8)).first()[0] or 0) // SHARD_KEYS))
+    shards = int(shards)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, nodes, u, v in zip(*(batch.column(c).to_pylist() for c in ("block", "nodes", "u", "v"))):
+                keys = np.unique(_block_keys(u, v, len(nodes) // 8))
+                at = _shard_starts(keys, shards)
+                some = np.flatnonzero(np.diff(at))
+                low = keys.astype(np.uint32)
+                blobs = [low[at[s] : at[s + 1]].tobytes() for s in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(np.full(len(some), block), pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "block", "blob"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, np.uint32) for x in table.column("blob").to_pylist()]
+        _, back, many = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        bits = np.split((many > 1)[back], np.cumsum([len(p) for p in parts])[:-1])
+        return table.set_column(2, "blob", pa.array([np.packbits(b).tobytes() for b in bits], pa.binary()))
+
+    def shared(table: pa.Table) -> pa.Table:
+        held = {s: x for s, x in zip(table.column("shard").to_pylist(), table.column("blob").to_pylist()) if s >= 0}
+        own = table.column("shard").to_pylist().index(-1)
+        nodes, sizes, u, v = (table.column(c)[own].as_py() for c in payload[1:])
+        nodes, sizes = np.frombuffer(nodes, np.int64), np.frombuffer(sizes, np.int32)
+        keys = _block_keys(u, v, len(nodes))
+        distinct, back, many = np.unique(keys, return_inverse=True, return_counts=True)
+        at = _shard_starts(distinct, shards)
+        wanted = many > 1
+        for s, x in held.items():
+            wanted[at[s] : at[s + 1]] |= np.unpackbits(np.frombuffer(x, np.uint8), count=at[s + 1] - at[s]).astype(bool)
+        row, _ = np.nonzero(wanted[back].reshape(keys.shape))
+        return pa.table([pa.array(nodes[row]), pa.array(sizes[row]), pa.array(keys[wanted[back].reshape(keys.shape)].view(np.int64))], names=["node", "size", "key"])
+
+    routed = "shard long, block long, blob binary"
+    answers = blocks.mapInArrow(send, routed).groupBy("shard").applyInArrow(answer, routed)
+    none = {c: F.lit(None).cast("binary") for c in payload[1:]}
+    whole = blocks.select("block", F.lit(-1).cast("long").alias("shard"), F.lit(None).cast("binary").alias("blob"), *payload[1:])
+    return whole.unionByName(answers.withColumns(none)).groupBy("block").applyInArrow(shared, "node long, size int, key long")
+
+
 def near_groups(docs: DataFrame, threshold: float = THRESHOLD, side: int = SIDE, rows: int = ROWS, k: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(rows doc, node; groups node, root, keep): texts as nodes, and the nodes of every group of near duplicates or copies.
 
@@ -148,8 +228,8 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, side: int = SIDE,
     signed = staged(base.mapInArrow(_sign(side, rows, k), "doc long, node long, size int, u array<long>, v array<long>"), "minhash-signatures")
     classes = staged(signed.groupBy("node").agg(F.min("doc").alias("rep"), F.count("*").alias("held"), F.first("size").alias("size"), F.first("u").alias("u"), F.first("v").alias("v")), "minhash-classes")
 
-    tables = classes.select("node", "size", F.posexplode("u").alias("i", "x"), "v").select("node", "size", "i", "x", F.posexplode("v").alias("j", "y"))
-    keyed = tables.select("node", "size", F.xxhash64("i", "x", "j", "y").alias("key"))
+    keyed = staged(_shared_keys(classes), "minhash-keyed")
+    release(docs.sparkSession)
     buckets = staged(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("node", "size")).alias("lead")).filter("n > 1").select("key", "n", F.col("lead.node").alias("lead"), F.col("lead.size").alias("lead_size")), "minhash-buckets")
     followers = staged(keyed.join(small(buckets, 40), "key").filter("node != lead"), "minhash-members")
     release(docs.sparkSession)
