@@ -268,7 +268,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="repograph")
     sub = p.add_subparsers(dest="command", required=True)
 
-    def command(name: str, *flags: str, **values: dict) -> None:
+    def command(name: str, /, *flags: str, **values: dict) -> None:
         c = sub.add_parser(name)
         c.set_defaults(run=globals()[name])
         for f in flags:
