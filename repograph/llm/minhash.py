@@ -173,7 +173,7 @@ def _shared_keys(classes: DataFrame) -> DataFrame:
     """
     payload = ["block", "nodes", "sizes", "u", "v"]
     blocks = staged(classes.select("node", "size", "u", "v").mapInArrow(_to_blocks, "block long, nodes binary, sizes binary, u binary, v binary"), "minhash-blocks")
-    shards = max(1, -(-(blocks.agg(F.sum(F.length("u") * F.length("v") / F.length("nodes") / 8)).first()[0] or 0) // SHARD_KEYS))
+    shards = max(1, -(-(blocks.agg(F.sum(F.length("u").cast("double") * F.length("v") / F.length("nodes") / 8)).first()[0] or 0) // SHARD_KEYS))
     shards = int(shards)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
