@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +26,8 @@ MAX_DF, COVERED = 0.05, 0.75
 #: A passage is a candidate from this cosine, less for items shorter than it, which fill less of it (see cut_off); it is a leak if the longest common subsequence covers so much of the item,
 #: or a little less with the answer in place.
 COSINE, COVER, COVER_WITH_ANSWER, ANSWER_COVER = 0.65, 0.7, 0.5, 0.8
+#: Cells of a table of items by terms (beyond, the counts are searched), and words of stretches that are looked at together.
+TABLE_CELLS, WORDS_AT_ONCE = 1 << 24, 1 << 20
 SEED = 5
 SCHEMA = "doc_id long, item_id long, cosine double, coverage double, answer_found boolean"
 
@@ -241,6 +242,43 @@ def fit_space(encoded: DataFrame, space: Space, dimensions: int = DIMENSIONS, ma
     return space
 
 
+class _Bags:
+    """How often each item has each term; what stretches of texts share with items, many at a time."""
+
+    def __init__(self, items: list[list[int]], n_terms: int) -> None:
+        self.n_terms = n_terms
+        pairs = np.concatenate([np.array(w, np.int64) + i * n_terms for i, w in enumerate(items)])
+        self.keys, self.counts = np.unique(pairs, return_counts=True)
+        self.table = None
+        if len(items) * n_terms <= TABLE_CELLS:
+            self.table = np.zeros(len(items) * n_terms, np.int32)
+            self.table[self.keys] = self.counts
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[keys]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[at], 0)
+
+    def share(self, terms: np.ndarray, begin: np.ndarray, stop: np.ndarray, item: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Which stretches terms[begin:stop] have at least `least` words in common with their item, each as often as both have it."""
+        out = []
+        edges = [0, *(np.flatnonzero(np.diff(np.cumsum(stop - begin) // WORDS_AT_ONCE)) + 1), len(begin)]
+        for a, b in zip(edges[:-1], edges[1:]):
+            n = (stop - begin)[a:b]
+            case = np.repeat(np.arange(b - a), n)
+            word = terms[np.arange(int(n.sum())) + np.repeat(begin[a:b] - (np.cumsum(n) - n), n)].astype(np.int64)
+            case, word = case[word >= 0], word[word >= 0]
+            held = self.of(item[a:b][case] * self.n_terms + word)
+            case, word, held = case[held > 0], word[held > 0], held[held > 0]
+            enough = np.bincount(case, minlength=b - a) >= least[a:b]
+            keep = enough[case]
+            both, first, many = np.unique(case[keep] * self.n_terms + word[keep], return_index=True, return_counts=True)
+            shared = np.bincount(both // self.n_terms, np.minimum(many, held[keep][first]), b - a)
+            out.append(a + np.flatnonzero(enough & (shared >= least[a:b])))
+        return np.concatenate(out)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover: float = COVER, cover_with_answer: float = COVER_WITH_ANSWER) -> DataFrame:
     """doc_id, item_id, cosine, coverage, answer_found: every leak of a benchmark item into a document.
 
@@ -293,7 +331,8 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, list[int], list[int]]], co
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
         numbered = [([s.ids[w] for w in ws], [s.ids[w] for w in answer]) for _, ws, answer in s.items]
-        bags = [Counter(want) for want, _ in numbered]
+        bags = _Bags([want for want, _ in numbered], len(s.used))
+        lengths = np.array([len(want) for want, _ in numbered])
         cuts = np.array([cut_off(len(want), cosine) for want, _ in numbered], np.float32)
         common = [i for i, (want, _) in enumerate(numbered) if s.used[want].mean() < COVERED]
         everything = np.ones(len(s.used), bool)
@@ -317,16 +356,15 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, list[int], list[int]]], co
                     block, term, _, _ = _blocks(terms, sizes, everything)
                     shared_words, _ = _passages(_sum_by(block, len(block_doc), term, held), block_doc)
                     near_enough[:, common] |= shared_words >= least
-                hits = np.argwhere(near_enough)
-                for at, item in hits.tolist():
+                where, which = np.nonzero(near_enough)
+                first_word = np.maximum(begin[doc[where]], start[where] - lengths[which])
+                past = np.minimum((begin + sizes)[doc[where]], start[where] + 2 * BLOCK + lengths[which])
+                # no common subsequence is longer than what the bags share
+                some = bags.share(terms, first_word, past, which, cover_with_answer * lengths[which])
+                for at, item, a, b in zip(where[some].tolist(), which[some].tolist(), first_word[some].tolist(), past[some].tolist()):
                     want, answer = numbered[item]
                     d = doc[at]
-                    a = max(int(begin[d]), int(start[at]) - len(want))
-                    near = terms[a : min(int(begin[d] + sizes[d]), int(start[at]) + 2 * BLOCK + len(want))].tolist()
-                    # no common subsequence is longer than what the bags share
-                    bag = bags[item]
-                    if sum(min(n, bag[x]) for x, n in Counter(filter(bag.__contains__, near)).items()) < cover_with_answer * len(want):
-                        continue
+                    near = terms[a:b].tolist()
                     got = _cover(want, near)
                     if got < cover_with_answer:
                         continue
