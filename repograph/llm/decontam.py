@@ -151,6 +151,23 @@ def _sum_by(group: np.ndarray, n: int, rows: np.ndarray, m: np.ndarray) -> np.nd
     return back
 
 
+def _shared_words(block: np.ndarray, term: np.ndarray, block_doc: np.ndarray, first: np.ndarray, held: list[np.ndarray]) -> np.ndarray:
+    """passage x item: words that both have, each as often as both have it. held[n - 1] tells which items have a term n times or more."""
+    own = np.full(len(block_doc) + 1, -1)
+    own[first] = np.arange(len(first))
+    before = np.where(np.append(False, block_doc[1:] == block_doc[:-1])[block], own[block - 1], -1) if len(block) else np.zeros(0, int)
+    passage, word = np.concatenate([own[block], before]), np.concatenate([term, term])
+    passage, word = passage[passage >= 0], word[passage >= 0]
+    key = np.sort(passage * len(held[0]) + word)
+    run = np.flatnonzero(np.diff(key, prepend=-1))
+    nth = np.arange(len(key)) - np.repeat(run, np.diff(np.append(run, len(key))))
+    out = np.zeros((len(first), held[0].shape[1]), np.float32)
+    for n, has in enumerate(held):
+        some = key[nth == n]
+        out += _sum_by(some // len(has), len(first), some % len(has), has)
+    return out
+
+
 def _batches(batch: pa.RecordBatch, words_at_once: int = 40_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     sizes = np.diff(batch.column(1).offsets.to_numpy())
     cuts = np.cumsum(sizes) // words_at_once
@@ -242,6 +259,17 @@ def fit_space(encoded: DataFrame, space: Space, dimensions: int = DIMENSIONS, ma
     return space
 
 
+def _least_shared(n: int, cover: float) -> float:
+    """How many of an item's n words at least one passage holds, if a stretch as long as _cover() looks at holds `cover` of them.
+
+    Passages of two blocks begin at every block, so those at every other block part a stretch into so many
+    pieces, and one of two neighbours misses at most half of what a short stretch has beyond a block.
+    """
+    stretch, words = n + max(2, n // 4), cover * n
+    share = words / -(-(stretch + BLOCK - 1) // (2 * BLOCK))
+    return max(share, words - (stretch - BLOCK) // 2) if BLOCK < stretch <= 2 * BLOCK else share
+
+
 class _Bags:
     """How often each item has each term; what stretches of texts share with items, many at a time."""
 
@@ -336,11 +364,11 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, list[int], list[int]]], co
         cuts = np.array([cut_off(len(want), cosine) for want, _ in numbered], np.float32)
         common = [i for i, (want, _) in enumerate(numbered) if s.used[want].mean() < COVERED]
         everything = np.ones(len(s.used), bool)
-        held = np.zeros((len(s.used), len(common)), np.float32)
+        often = np.zeros((len(s.used), len(common)), np.int32)
         for k, i in enumerate(common):
-            held[numbered[i][0], k] = 1
-        # half of what an item of that density brings into a passage
-        least = np.array([min(len(numbered[i][0]), 2 * BLOCK) * cover_with_answer / 2 for i in common], np.float32)
+            np.add.at(often[:, k], numbered[i][0], 1)
+        held = [(often >= n).astype(np.float32) for n in range(1, int(often.max(initial=0)) + 1)]
+        least = np.array([_least_shared(len(numbered[i][0]), cover_with_answer) for i in common], np.float32)
         for batch in batches:
             out: dict[tuple, tuple] = {}
             for part, terms, sizes in _batches(batch):
@@ -354,8 +382,7 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, list[int], list[int]]], co
                 near_enough = sim >= cuts[None, :]
                 if common:
                     block, term, _, _ = _blocks(terms, sizes, everything)
-                    shared_words, _ = _passages(_sum_by(block, len(block_doc), term, held), block_doc)
-                    near_enough[:, common] |= shared_words >= least
+                    near_enough[:, common] |= _shared_words(block, term, block_doc, first, held) >= least
                 where, which = np.nonzero(near_enough)
                 first_word = np.maximum(begin[doc[where]], start[where] - lengths[which])
                 past = np.minimum((begin + sizes)[doc[where]], start[where] + 2 * BLOCK + lengths[which])
