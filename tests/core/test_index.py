@@ -13,6 +13,7 @@ from repograph.plans import render
 from repograph.plans.store import Store
 from repograph.sources import git, scan, share
 from repograph.sources.manifests import manifests, parse_msbuild
+from repograph.streaming.follow import follow
 
 FILES = {
     "src/widget.rs": "pub struct Widget {}\npub fn make() -> Widget { Widget {} }\n",
@@ -146,3 +147,12 @@ def test_texts():
     text = render.pack_markdown({"mode": "path", "query": "q", "budget": 5}, {}, [item], [], {"a|b.md": "x"}, "+d\n")
     assert "| a\\|b.md | r | 3 |" in text and "```text\nx\n```\n" in text and "```diff\n+d\n```" in text and "_No symbols" in text and "- Repo: (unnamed)" in text
     assert G.stats is not None and json.loads(render.pack_json({"mode": "changed", "query": "", "budget": 1}, {}, [item], [], {}))["repository"]["changedFilesIncluded"]
+
+
+def test_facts_of_files_that_arrive(spark, tmp_path):
+    (tmp_path / "in/sub").mkdir(parents=True)
+    for name, text in (("a.rs", "fn one() {}"), ("sub/b.go", "package b\nfunc Two() {}")):
+        (tmp_path / "in" / name).write_text(text)
+        assert follow(spark, f"file://{tmp_path}/in", f"{tmp_path}/facts", f"{tmp_path}/check").awaitTermination(60)
+    got = spark.read.parquet(f"{tmp_path}/facts").select("path", "name").collect()
+    assert sorted(map(tuple, got)) == [("a.rs", "one"), ("sub/b.go", "Two")]
