@@ -41,7 +41,7 @@ STAGES = [
     ("sharding", assign_shards),
 ]
 
-#: Trained models and hash-drawn rounding are not SQL; no test compares run() with a brute-force version yet.
+#: Trained models and hash-drawn rounding are not SQL; tests/llm/test_edges.py has the comparison of run() with a brute-force version.
 ORACLE_SQL = None
 
 
