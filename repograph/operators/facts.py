@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..extract import facts_of
 from ..functions import paths as P
+from .joins import shuffled
 
 SCHEMA = "path string, fact string, name string, full_name string, kind string, start_line int, end_line int, visibility string, exported boolean, target string, hint string"
 _ARROW = pa.schema(
@@ -60,11 +61,16 @@ def extract(files: DataFrame) -> DataFrame:
     return files.filter(F.col("language") != "other").select("path", "language", F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
+def declared(facts: DataFrame) -> DataFrame:
+    """id, name, full_name, kind, file_path, start_line, end_line, visibility, exported."""
+    named = P.symbol_id(F.col("path"), F.col("kind"), F.col("name"), F.col("start_line"))
+    return facts.filter("fact = 'symbol'").select(named.alias("id"), "name", "full_name", "kind", F.col("path").alias("file_path"), "start_line", "end_line", "visibility", "exported")
+
+
 def symbols(facts: DataFrame, files: DataFrame) -> DataFrame:
     """id, name, full_name, kind, language, file_path, start_line, end_line, visibility, exported; files: path, language."""
-    found = facts.filter("fact = 'symbol'").join(files.select("path", "language"), "path")
-    named = P.symbol_id(F.col("path"), F.col("kind"), F.col("name"), F.col("start_line"))
-    return found.select(named.alias("id"), "name", "full_name", "kind", "language", F.col("path").alias("file_path"), "start_line", "end_line", "visibility", "exported")
+    found = declared(facts).join(shuffled(files.select(F.col("path").alias("file_path"), "language")), "file_path")
+    return found.select("id", "name", "full_name", "kind", "language", "file_path", "start_line", "end_line", "visibility", "exported")
 
 
 def raw_imports(facts: DataFrame) -> DataFrame:

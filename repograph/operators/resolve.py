@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, ci_equals, parent_dir
+from .joins import shuffled
 
 INTERFACES = ("interface", "trait")
 
@@ -16,53 +17,83 @@ def first_declarations(symbols: DataFrame) -> DataFrame:
     return symbols.withColumn("rg_nth", F.row_number().over(w)).filter("rg_nth = 1").drop("rg_nth")
 
 
-def cascade(raw: DataFrame, symbols: DataFrame, names: Column | None = None) -> DataFrame:
+def named_in(symbols: DataFrame, raw: DataFrame) -> DataFrame:
+    """The symbols whose name raw (..., to, ...) refers to."""
+    return symbols.join(shuffled(raw.select(F.col("to").alias("name")).distinct()), "name", "left_semi")
+
+
+def _in_file(path: Column) -> Column:
+    return F.concat(F.lit("="), path)
+
+
+def _below(dir: Column) -> Column:
+    return F.concat(F.lit("/"), dir)
+
+
+def cascade(raw: DataFrame, symbols: DataFrame, targets: DataFrame | None = None, alive: DataFrame | None = None) -> DataFrame:
     """src, dst and raw's other columns: raw (file_path, from, to, ...) against symbols by name.
 
     Targets in the referrer's file win; else those strictly below its directory; else all of that name.
-    Staged, so that only names that stay unresolved reach the join over all files. Each (src, to) is
-    resolved by itself, so a condition on raw restricts the result without changing it; names (over the
-    columns of symbols) restricts the targets likewise, if it holds for all symbols of a name or for none.
+    Where targets are is counted first (least and greatest id in each file and below each directory), so that
+    each (src, to) gets the one scope it resolves in, and one join finds its targets; raw is read once. Each
+    (src, to) is resolved by itself, so a condition on raw restricts the result without changing it; targets
+    restricts the symbols referred to likewise, if it has all symbols of a name or none. alive (id) keeps the
+    edges whose both ends it has; what others resolve to stays as it is. Rows are distinct if those of raw's
+    other columns are, for each (file_path, from, to).
     """
     extra = [c for c in raw.columns if c not in ("file_path", "from", "to")]
     decl = first_declarations(symbols).select("file_path", F.col("name").alias("from"), F.col("id").alias("src"))
-    targets = (symbols if names is None else symbols.filter(names)).select(F.col("name").alias("to"), F.col("id").alias("dst"), F.col("file_path").alias("t_file"), F.col("kind").alias("t_kind"))
-    base = raw.filter(F.col("from") != "").distinct().join(decl, ["file_path", "from"]).join(targets.select("to").distinct(), "to", "left_semi")
-    keys = ["src", "to", *extra]
-    out = [*keys, "dst", "t_kind"]
-    in_file = base.join(targets.withColumnRenamed("t_file", "file_path"), ["to", "file_path"]).filter("src != dst").select(*out)
-    rest = base.join(in_file.select(*keys).distinct(), keys, "left_anti").withColumn("dir", parent_dir(F.col("file_path")))
-    below = targets.withColumn("dir", F.explode(ancestors(F.col("t_file")))).filter("dir != ''")
-    in_dir = rest.join(below, ["to", "dir"]).filter("src != dst").select(*out)
-    last = rest.join(in_dir.select(*keys).distinct(), keys, "left_anti")
-    anywhere = last.join(targets, "to").filter("src != dst").select(*out)
-    return in_file.unionByName(in_dir).unionByName(anywhere)
-
-
-def resolve_references(raw: DataFrame, symbols: DataFrame, name: str | None = None) -> DataFrame:
-    """src, dst; with a name, only the edges to symbols of that name, for which no other name is resolved."""
+    ends = (symbols if targets is None else targets).select(F.col("name").alias("to"), F.col("id").alias("dst"), F.col("file_path").alias("t_file"), F.col("kind").alias("t_kind"))
+    found = ends.distinct()
+    if alive is not None:
+        decl = decl.join(shuffled(alive.select(F.col("id").alias("src"))), "src", "left_semi")
+        found = found.join(shuffled(alive.select(F.col("id").alias("dst"))), "dst", "left_semi")
+    # distinct while still partitioned by file and from
+    base = raw.filter(F.col("from") != "").join(shuffled(decl), ["file_path", "from"]).distinct()
+    base = base.join(shuffled(ends.select("to").distinct()), "to", "left_semi").select("src", "to", "file_path", *extra)
+    dirs = F.transform(F.filter(ancestors(F.col("t_file")), lambda d: d != ""), _below)
+
+    def some(scope: Column) -> DataFrame:
+        ids = [F.min("dst").alias("rg_lo"), F.max("dst").alias("rg_hi")]
+        return shuffled(ends.select("to", "dst", scope.alias("scope")).groupBy("to", "scope").agg(*ids))
+
+    other = F.coalesce((F.col("rg_lo") != F.col("src")) | (F.col("rg_hi") != F.col("src")), F.lit(False))
+    dir, scope = parent_dir(F.col("file_path")), F.col("scope")
+    near = base.withColumn("scope", _in_file(F.col("file_path"))).join(some(_in_file(F.col("t_file"))), ["to", "scope"], "left")
+    near = near.withColumn("scope", F.when(other, scope).when(dir != "", _below(dir)).otherwise("")).drop("rg_lo", "rg_hi")
+    near = near.join(some(F.explode(dirs)), ["to", "scope"], "left")
+    near = near.withColumn("scope", F.when(scope.startswith("=") | other, scope).otherwise("")).drop("rg_lo", "rg_hi")
+    everywhere = F.explode(F.concat(F.array(F.lit(""), _in_file(F.col("t_file"))), dirs))
+    met = near.join(shuffled(found.select("to", "dst", "t_kind", everywhere.alias("scope"))), ["to", "scope"])
+    return met.filter("src != dst").select("src", "to", *extra, "dst", "t_kind")
+
+
+def resolve_references(raw: DataFrame, symbols: DataFrame, name: str | None = None, targets: DataFrame | None = None, alive: DataFrame | None = None) -> DataFrame:
+    """src, dst, each once; with a name, only the edges to symbols of that name, for which no other name is resolved."""
     raw = raw.select("file_path", "from", "to")
-    if name is None:
-        return cascade(raw, symbols).select("src", "dst").distinct()
-    return cascade(raw.filter(ci_equals(F.col("to"), name)), symbols, ci_equals(F.col("name"), name)).select("src", "dst").distinct()
+    if name is not None:
+        raw, targets = raw.filter(ci_equals(F.col("to"), name)), symbols.filter(ci_equals(F.col("name"), name))
+    return cascade(raw, symbols, targets, alive).select("src", "dst")
 
 
-def resolve_supertypes(raw: DataFrame, symbols: DataFrame, name: str | None = None) -> DataFrame:
-    """src, dst, kind; an unknown hint implements interfaces and traits and inherits the rest.
+def resolve_supertypes(raw: DataFrame, symbols: DataFrame, name: str | None = None, targets: DataFrame | None = None) -> DataFrame:
+    """src, dst, kind, each once; an unknown hint implements interfaces and traits and inherits the rest.
 
-    With a name, only the edges from or to symbols of that name.
+    With a name, only the edges from or to symbols of that name. The hints of one (file_path, from, to) go
+    through the cascade as one row, so that what they make of a target is told apart without a shuffle of edges.
     """
-    raw = raw.select("file_path", "from", "to", "hint")
     if name is not None:
         raw = raw.filter(ci_equals(F.col("from"), name) | ci_equals(F.col("to"), name))
-    met = cascade(raw, symbols)
-    kind = F.when(F.col("hint") != "unknown", F.col("hint")).when(F.col("t_kind").isin(*INTERFACES), F.lit("implements")).otherwise(F.lit("inherits"))
-    return met.select("src", "dst", kind.alias("kind")).distinct()
+    hints = F.sort_array(F.collect_set(F.coalesce("hint", F.lit("unknown")))).alias("hints")
+    met = cascade(raw.groupBy("file_path", "from", "to").agg(hints), symbols, targets)
+    unknown = F.when(F.col("t_kind").isin(*INTERFACES), F.lit("implements")).otherwise(F.lit("inherits"))
+    kinds = F.array_distinct(F.transform("hints", lambda h: F.when(h != "unknown", h).otherwise(unknown)))
+    return met.select("src", "dst", F.explode(kinds).alias("kind"))
 
 
 def exact_imports(imports: DataFrame, packages: DataFrame) -> DataFrame:
     """file_path, package_id of imports (file_path, package) by exact name."""
-    return imports.join(packages.select(F.col("name").alias("package"), F.col("id").alias("package_id")), "package").select("file_path", "package_id").distinct()
+    return imports.join(shuffled(packages.select(F.col("name").alias("package"), F.col("id").alias("package_id"))), "package").select("file_path", "package_id").distinct()
 
 
 def resolve_imports(imports: DataFrame, packages: DataFrame) -> DataFrame:
@@ -74,7 +105,7 @@ def resolve_imports(imports: DataFrame, packages: DataFrame) -> DataFrame:
     npm = exact_imports(imports.filter(F.col("language").isin("javascript", "typescript")), packages.filter("ecosystem = 'npm'"))
     nuget = packages.filter("ecosystem = 'nuget'")
     spaces = imports.filter("language = 'csharp'").select("file_path", F.col("package").alias("name")).distinct().withColumn("use", F.struct("file_path", "name"))
-    met = longest_prefix(spaces.select("use", "name"), nuget, "use").join(nuget.select(F.col("name").alias("package"), F.col("id").alias("package_id")), "package")
+    met = longest_prefix(spaces.select("use", "name"), nuget, "use").join(shuffled(nuget.select(F.col("name").alias("package"), F.col("id").alias("package_id"))), "package")
     return npm.unionByName(met.select("use.file_path", "package_id")).distinct()
 
 
@@ -82,7 +113,7 @@ def longest_prefix(names: DataFrame, packages: DataFrame, key: str) -> DataFrame
     """key, package: the longest package name that equals a dotted name (column name) or begins it at a dot."""
     parts = F.split("name", r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
-    met = names.select(key, F.explode(prefixes).alias("package")).join(packages.select(F.col("name").alias("package")).distinct(), "package")
+    met = names.select(key, F.explode(prefixes).alias("package")).join(shuffled(packages.select(F.col("name").alias("package")).distinct()), "package")
     return met.groupBy(key).agg(F.max_by("package", F.length("package")).alias("package"))
 
 

@@ -111,7 +111,7 @@ def _incremental(g: Graph) -> DataFrame:
 
 def _deleted(g: Graph) -> DataFrame:
     alive = g.symbols().filter("start_line % 5 != 0")
-    return G.live_edges(_refs(g), alive, alive)
+    return J.resolve_references(g.raw_references(), g.symbols(), alive=alive)
 
 
 def _last_version(g: Graph) -> DataFrame:

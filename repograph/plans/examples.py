@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..operators import facts as X
 from ..operators import resolve as J
+from ..operators.joins import shuffled
+from ..operators.work import read_once
 from ..sources.manifests import manifests, msbuild_items, node_items
 from .corpus import Graph, cascade_sql
 
@@ -52,6 +54,8 @@ REFERENCES = {
     "javascript": [("sum{n}", "add{m}"), ("x", "require")],
 }
 _OTHER = "(p_partkey * 7 + 3) % 200"
+#: Tasks at least that scan the files of each language.
+TASKS = 24
 
 
 def _filled(text: str):
@@ -59,8 +63,13 @@ def _filled(text: str):
 
 
 def files(g: Graph, *languages: str) -> DataFrame:
-    """path, language, text of a file of each language for each part, in folders of one to three levels."""
-    part = g.table("part").select(F.col("p_partkey").cast("string").alias("n"), F.expr(_OTHER).cast("string").alias("m"), F.concat(F.lit("d"), (F.col("p_partkey") % 5).cast("string")).alias("a"), (F.col("p_size") % 3).alias("deep"))
+    """path, language, text of a file of each language for each part, in folders of one to three levels.
+
+    Parts are few bytes and many rows: read as the table's files are split, all of them could be one task's,
+    so their keys are spread over the cores before texts are made of them.
+    """
+    tasks = max(TASKS, 4 * g.spark.sparkContext.defaultParallelism)
+    part = g.table("part").select("p_partkey", "p_size").repartition(tasks, "p_partkey").select(F.col("p_partkey").cast("string").alias("n"), F.expr(_OTHER).cast("string").alias("m"), F.concat(F.lit("d"), (F.col("p_partkey") % 5).cast("string")).alias("a"), (F.col("p_size") % 3).alias("deep"))
     folder = F.when(F.col("deep") == 0, F.col("a")).when(F.col("deep") == 1, F.concat("a", F.lit("/b"))).otherwise(F.concat("a", F.lit("/b/c")))
     out = None
     for lang in languages or FILES:
@@ -122,21 +131,21 @@ _PACKAGES = """packages AS (SELECT *, 'pkg:' || ecosystem || ':' || name AS id F
 
 def _imports(g: Graph) -> DataFrame:
     own = files(g, *IMPORTS)
-    raw = X.raw_imports(X.extract(own)).join(own.select(F.col("path").alias("file_path"), "language"), "file_path")
-    return J.resolve_imports(raw, _packages(g))
+    raw = read_once(X.raw_imports(X.extract(own)), "imports")
+    return J.resolve_imports(raw.join(shuffled(own.select(F.col("path").alias("file_path"), "language")), "file_path"), _packages(g))
 
 
 def _edges(g: Graph) -> DataFrame:
     """References of all files, as an index run resolves them."""
-    own = files(g, *REFERENCES)
-    facts = X.extract(own)
-    return J.resolve_references(X.raw_references(facts), X.symbols(facts, own))
+    facts = read_once(X.extract(files(g, *REFERENCES)).filter("fact IN ('symbol', 'reference')"), "facts")
+    raw, symbols = X.raw_references(facts), X.declared(facts)
+    return J.resolve_references(raw, symbols, targets=J.named_in(symbols, raw))
 
 
 def _type_edges(g: Graph) -> DataFrame:
-    own = files(g, *SUPERTYPES)
-    facts = X.extract(own)
-    return J.resolve_supertypes(X.raw_supertypes(facts), X.symbols(facts, own))
+    facts = read_once(X.extract(files(g, *SUPERTYPES)).filter("fact IN ('symbol', 'supertype')"), "facts")
+    raw, symbols = X.raw_supertypes(facts), X.declared(facts)
+    return J.resolve_supertypes(raw, symbols, targets=J.named_in(symbols, raw))
 
 
 def _index_sql(table: dict, columns: list[str], raw: str, extra: str, tail: str) -> str:

@@ -30,8 +30,8 @@ def resolved(files: DataFrame, facts: DataFrame, manifest_texts: DataFrame) -> d
     projects = named.unionByName(stubs.withColumns(empty))
     owners = J.nearest_owner(files.select("path"), named.select(F.col("path").alias("manifest")))
     imports = X.raw_imports(facts).join(files.select(F.col("path").alias("file_path"), "language"), "file_path")
-    met = J.cascade(X.raw_references(facts), symbols)
-    edges = met.select("src", "dst", F.col("to").alias("name")).distinct()
+    refs, supers = X.raw_references(facts), X.raw_supertypes(facts)
+    edges = J.cascade(refs, symbols, J.named_in(symbols, refs)).select("src", "dst", F.col("to").alias("name"))
     return {
         "symbols": symbols,
         "projects": projects,
@@ -42,7 +42,7 @@ def resolved(files: DataFrame, facts: DataFrame, manifest_texts: DataFrame) -> d
         "imports_package": J.resolve_imports(imports, packages),
         # by name, so that a query for one symbol's referrers reads few row groups
         "references": edges.repartitionByRange("name").sortWithinPartitions("name"),
-        "supertypes": J.resolve_supertypes(X.raw_supertypes(facts), symbols),
+        "supertypes": J.resolve_supertypes(supers, symbols, targets=J.named_in(symbols, supers)),
     }
 
 
