@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ci_contains, ci_equals
+from .joins import shuffled
 
 
 def symbols_matching(symbols: DataFrame, name: str | None = None, kind: str | None = None, language: str | None = None, file: str | None = None) -> DataFrame:
@@ -35,7 +36,7 @@ def symbol_references(references: DataFrame, symbols: DataFrame, name: str) -> D
     """path, reason, depth of files that refer to a symbol of that name."""
     target = symbols.filter(ci_equals(F.col("name"), name)).select(F.col("id").alias("dst"))
     source = symbols.select(F.col("id").alias("src"), F.col("file_path").alias("path"))
-    met = references.join(target, "dst", "left_semi").join(source, "src")
+    met = references.join(shuffled(target), "dst", "left_semi").select("src").distinct().join(shuffled(source), "src")
     return met.select("path", F.lit(f"references {name}").alias("reason"), F.lit(1).alias("depth")).distinct()
 
 
@@ -43,13 +44,15 @@ def type_relations(edges: DataFrame, symbols: DataFrame, name: str) -> DataFrame
     """path, reason, depth over inheritance and implementation edges (src, dst, kind), both ways."""
     named = symbols.filter(ci_equals(F.col("name"), name)).select(F.col("id").alias("node"))
     where = symbols.select(F.col("id").alias("other"), F.col("file_path").alias("path"))
-    up = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.when(F.col("kind") == "inherits", "base type (inherits)").otherwise("implemented interface/trait").alias("reason"))
-    down = edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.when(F.col("kind") == "inherits", "subtype (inherits)").otherwise("implementor").alias("reason"))
-    return up.unionByName(down).join(named, "node", "left_semi").join(where, "other").select("path", "reason", F.lit(1).alias("depth")).distinct()
+    inherits = F.col("kind") == "inherits"
+    up = F.struct(F.col("src").alias("node"), F.col("dst").alias("other"), F.when(inherits, "base type (inherits)").otherwise("implemented interface/trait").alias("reason"))
+    down = F.struct(F.col("dst").alias("node"), F.col("src").alias("other"), F.when(inherits, "subtype (inherits)").otherwise("implementor").alias("reason"))
+    both = edges.select(F.explode(F.array(up, down)).alias("rg")).select("rg.*")
+    return both.join(shuffled(named), "node", "left_semi").join(shuffled(where), "other").select("path", "reason", F.lit(1).alias("depth")).distinct()
 
 
 def files_importing(imports: DataFrame, packages: DataFrame, name: str) -> DataFrame:
-    return imports.join(packages.filter(F.col("name") == name).select(F.col("id").alias("package_id")), "package_id", "left_semi").select(F.col("file_path").alias("path")).distinct()
+    return imports.join(shuffled(packages.filter(F.col("name") == name).select(F.col("id").alias("package_id"))), "package_id", "left_semi").select(F.col("file_path").alias("path")).distinct()
 
 
 def siblings(contains: DataFrame, projects: DataFrame, path: str) -> DataFrame:
@@ -61,7 +64,7 @@ def siblings(contains: DataFrame, projects: DataFrame, path: str) -> DataFrame:
 
 def related_to_symbol(symbols: DataFrame, references: DataFrame, name: str) -> DataFrame:
     here = symbols.filter(ci_equals(F.col("name"), name)).select(F.col("file_path").alias("path"), F.lit("exact symbol declaration").alias("reason"), F.lit(0).alias("depth")).distinct()
-    there = symbol_references(references, symbols, name).join(here.select("path"), "path", "left_anti")
+    there = symbol_references(references, symbols, name).join(shuffled(here.select("path")), "path", "left_anti")
     return here.unionByName(there)
 
 
@@ -92,8 +95,3 @@ def classify(candidates: DataFrame, indexed: DataFrame) -> DataFrame:
 def replace_files(old: DataFrame, batch: DataFrame, key: str = "path") -> DataFrame:
     """old with the rows of the batch's files replaced by the batch."""
     return old.join(batch.select(key).distinct(), key, "left_anti").unionByName(batch)
-
-
-def live_edges(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """Edges whose both ends exist."""
-    return edges.join(sources.select(F.col("id").alias("src")), "src", "left_semi").join(targets.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()

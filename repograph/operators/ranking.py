@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from .joins import shuffled
 
 BUDGET = 40_000
 #: Parts in which rows of one cost are ranked first.
@@ -32,13 +33,13 @@ def keep(found: DataFrame, include_tests: bool = False, include_config: bool = F
 def select_best(found: DataFrame, files: DataFrame) -> DataFrame:
     """path, tier, reason: of each indexed file the candidate of least tier, the earliest of equals."""
     best = found.groupBy("path").agg(F.min(F.struct("tier", "seq", "reason")).alias("b"))
-    return best.join(files.select("path"), "path", "left_semi").select("path", "b.tier", "b.reason").orderBy("tier", "path")
+    return best.join(shuffled(files.select("path")), "path", "left_semi").select("path", "b.tier", "b.reason").orderBy("tier", "path")
 
 
 def finalize(items: DataFrame, files: DataFrame, ceiling: int = 1) -> DataFrame:
     """path, reason, depth: of each indexed file the item of least depth, then most specific reason, then earliest."""
     w = Window.partitionBy("path").orderBy("depth", F.desc("rg_s"), "seq", "reason")
-    near = items.join(files.select("path"), "path", "left_semi").filter((F.col("depth") == 0) | (F.col("depth") <= ceiling)).withColumn("rg_s", P.specificity(F.col("reason")))
+    near = items.join(shuffled(files.select("path")), "path", "left_semi").filter((F.col("depth") == 0) | (F.col("depth") <= ceiling)).withColumn("rg_s", P.specificity(F.col("reason")))
     return near.withColumn("rg_n", F.row_number().over(w)).filter("rg_n = 1").select("path", "reason", "depth").orderBy("depth", "path")
 
 

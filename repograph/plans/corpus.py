@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..operators.joins import shuffled
 
 EXTENSIONS = (".rs", ".ts", "_test.py", ".json", "Tests.cs", ".min.js", ".md", ".yaml", ".tsx", ".go")
 KINDS, LANGS = ("class", "interface", "struct", "trait", "function"), ("rust", "csharp", "typescript", "go")
@@ -63,15 +64,15 @@ class Graph:
 
     def lines(self) -> DataFrame:
         p = self.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", _file().alias("file_path"))
-        return self.table("lineitem").join(p, "l_partkey")
+        return self.table("lineitem").join(shuffled(p), "l_partkey")
 
     def uses_package(self) -> DataFrame:
-        rows = self.lines().select("p_brand", F.col("l_suppkey").alias("key")).distinct().join(self.packages(), "key")
+        rows = self.lines().select("p_brand", F.col("l_suppkey").alias("key")).distinct().join(shuffled(self.packages()), "key")
         return rows.select(P.project_id(F.concat("p_brand", F.lit("/proj.csproj"))).alias("src"), F.col("id").alias("dst")).distinct()
 
     def raw_imports(self) -> DataFrame:
         rows = self.lines().filter("l_linenumber = 1").select("file_path", F.col("l_suppkey").alias("key"), pick(IMPORTERS, F.col("l_partkey")).alias("language")).distinct()
-        return rows.join(self.packages().select("key", F.col("name").alias("package")), "key").select("file_path", "language", "package").distinct()
+        return rows.join(shuffled(self.packages().select("key", F.col("name").alias("package"))), "key").select("file_path", "language", "package").distinct()
 
     def raw_references(self) -> DataFrame:
         w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
@@ -81,7 +82,7 @@ class Graph:
         part = self.table("part")
         n = part.agg(F.count("*").alias("n"))
         child = part.crossJoin(F.broadcast(n)).select(_file().alias("file_path"), F.col("p_name").alias("from"), ((F.col("p_partkey") * 7 + 3) % F.col("n")).alias("k"), pick(HINTS, F.col("p_size")).alias("hint"))
-        return child.join(part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("to")), "k").select("file_path", "from", "to", "hint").distinct()
+        return child.join(shuffled(part.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("to"))), "k").select("file_path", "from", "to", "hint").distinct()
 
 
 def _list(values: tuple[str, ...]) -> str:

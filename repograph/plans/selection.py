@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..operators import graph as G
 from ..operators import ranking as R
+from ..operators.joins import shuffled
 
 
 def _neighbours(found: DataFrame, files: DataFrame) -> DataFrame:
     dirs = found.select(P.parent_dir(F.col("path")).alias("dir")).distinct()
-    near = files.withColumn("dir", P.parent_dir(F.col("path"))).join(dirs, "dir", "left_semi").select("path")
+    near = files.withColumn("dir", P.parent_dir(F.col("path"))).join(shuffled(dirs), "dir", "left_semi").select("path")
     return found.unionByName(R.candidates(near, 99, 2, "same directory as a selected file", False))
 
 
@@ -53,10 +54,10 @@ def _items(df: DataFrame, order: int, reason, depth: int = 1) -> DataFrame:
 
 def related_symbol(files: DataFrame, symbols: DataFrame, contains: DataFrame, projects: DataFrame, supers: DataFrame, references: DataFrame, name: str, ceiling: int = 1) -> DataFrame:
     seeds = symbols.filter(P.ci_equals(F.col("name"), name)).select(F.col("file_path").alias("path")).distinct()
-    own = contains.join(seeds, "path").join(projects.select(F.col("id").alias("project_id"), "name"), "project_id").select("project_id", F.col("path").alias("seed"), "name")
-    same = contains.join(own, "project_id").filter("path != seed").select("path", F.concat(F.lit("same project ("), F.col("name"), F.lit(")")).alias("reason")).distinct()
+    own = contains.join(shuffled(seeds), "path").join(shuffled(projects.select(F.col("id").alias("project_id"), "name")), "project_id").select("project_id", F.col("path").alias("seed"), "name")
+    same = contains.join(shuffled(own), "project_id").filter("path != seed").select("path", F.concat(F.lit("same project ("), F.col("name"), F.lit(")")).alias("reason")).distinct()
     dirs = seeds.select(P.parent_dir(F.col("path")).alias("dir")).distinct()
-    near = files.withColumn("dir", P.parent_dir(F.col("path"))).join(dirs, "dir", "left_semi")
+    near = files.withColumn("dir", P.parent_dir(F.col("path"))).join(shuffled(dirs), "dir", "left_semi")
     path = F.col("path")
     beside = F.when(P.is_test_file(path), "test file in the same directory").when(P.is_config_file(path), "config/registration file in the area").otherwise("same directory as a declaring file")
     matching = files.filter(P.ci_contains(path, name))
@@ -86,4 +87,4 @@ def related_file(files: DataFrame, contains: DataFrame, projects: DataFrame, pat
 def build_pack(chosen: DataFrame, contents: DataFrame, budget: int = R.BUDGET) -> DataFrame:
     """path, tier, tokens, included; contents: path, text."""
     sized = contents.select("path", P.estimate_tokens(F.col("text")).alias("tokens"))
-    return R.budget_fit(chosen.select("path", "tier").join(sized, "path"), budget)
+    return R.budget_fit(chosen.select("path", "tier").join(shuffled(sized), "path"), budget)
