@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..extract import facts_of
+from ..extract import FACTS, facts_of
 from ..functions import paths as P
 from .joins import shuffled
 
@@ -21,15 +21,15 @@ BATCH_ROWS = 20_000
 LANGUAGES_WITH_REFERENCES = ("csharp", "rust", "typescript", "javascript")
 
 
-def _rows(path: str, language: str, text: str) -> Iterator[tuple]:
-    facts = facts_of(path, language, text)
-    for name, full, kind, first, last, visibility, exported in sorted({(s[0], s[3], s[2]): s for s in reversed(facts.symbols)}.values(), key=lambda s: (s[3], s[0], s[2])):
+def _rows(path: str, language: str, text: str, wanted: frozenset[str] = FACTS) -> Iterator[tuple]:
+    facts = facts_of(path, language, text, wanted)
+    for name, full, kind, first, last, visibility, exported in sorted({(s[0], s[3], s[2]): s for s in reversed(facts.symbols if "symbol" in wanted else [])}.values(), key=lambda s: (s[3], s[0], s[2])):
         yield path, "symbol", name, full, kind, first, last, visibility, exported, None, None
-    for name in sorted(facts.imports):
+    for name in sorted(facts.imports) if "import" in wanted else ():
         yield path, "import", name, None, None, None, None, None, None, None, None
-    for child, base, hint in sorted(facts.supertypes):
+    for child, base, hint in sorted(facts.supertypes) if "supertype" in wanted else ():
         yield path, "supertype", child, None, None, None, None, None, None, base, hint
-    for source, target in sorted(facts.references):
+    for source, target in sorted(facts.references) if "reference" in wanted else ():
         yield path, "reference", source, None, None, None, None, None, None, target, None
 
 
@@ -37,13 +37,15 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
 
 
-def extract(files: DataFrame) -> DataFrame:
+def extract(files: DataFrame, *wanted: str) -> DataFrame:
     """The facts (SCHEMA) of files (path, language, text), each file read by the scanner of its language.
 
     A file is one row's work and files are independent, so this is a map without a shuffle. A null path,
     language or text gives no facts; neither does a file that its scanner can't read. Files of any size
-    are read whole. Repeated rows give repeated facts.
+    are read whole. Repeated rows give repeated facts. wanted: the facts to give (symbol, import, supertype,
+    reference; all if none is named); scanners don't look for others.
     """
+    asked = frozenset(wanted) or FACTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -51,7 +53,7 @@ def extract(files: DataFrame) -> DataFrame:
             for path, language, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if path is None or language is None or text is None:
                     continue
-                held += _rows(path, language, text)
+                held += _rows(path, language, text, asked)
                 if len(held) >= BATCH_ROWS:
                     yield _batch(held)
                     held = []

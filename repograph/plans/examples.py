@@ -102,15 +102,16 @@ _SYMBOL_COLUMNS = ["name", "full_name", "kind", "start_line", "end_line", "visib
 
 def _symbols(*languages: str):
     def plan(g: Graph) -> DataFrame:
-        return X.extract(files(g, *languages)).filter("fact = 'symbol'").select("path", *_SYMBOL_COLUMNS)
+        return X.extract(files(g, *languages), "symbol").select("path", *_SYMBOL_COLUMNS)
 
     named = {k: [(r[0], r[1] or r[0], *r[2:]) for r in v] for k, v in SYMBOLS.items()}
     return plan, f"WITH {_PARTS} SELECT path, {', '.join(_SYMBOL_COLUMNS)} FROM ({_rows(named, _SYMBOL_COLUMNS, languages)})"
 
 
-def _raw(reader, table: dict, columns: list[str], *languages: str):
+def _raw(fact: str, table: dict, columns: list[str], *languages: str):
+    reader = {"import": X.raw_imports, "supertype": X.raw_supertypes, "reference": X.raw_references}[fact]
     shown = [f'"{c}"' for c in columns]
-    return (lambda g: reader(X.extract(files(g, *languages)))), f"WITH {_PARTS} SELECT path AS file_path, {', '.join(shown)} FROM ({_rows(table, columns, languages)})"
+    return (lambda g: reader(X.extract(files(g, *languages), fact))), f"WITH {_PARTS} SELECT path AS file_path, {', '.join(shown)} FROM ({_rows(table, columns, languages)})"
 
 
 def _packages(g: Graph) -> DataFrame:
@@ -131,19 +132,19 @@ _PACKAGES = """packages AS (SELECT *, 'pkg:' || ecosystem || ':' || name AS id F
 
 def _imports(g: Graph) -> DataFrame:
     own = files(g, *IMPORTS)
-    raw = read_once(X.raw_imports(X.extract(own)), "imports")
+    raw = read_once(X.raw_imports(X.extract(own, "import")), "imports")
     return J.resolve_imports(raw.join(shuffled(own.select(F.col("path").alias("file_path"), "language")), "file_path"), _packages(g))
 
 
 def _edges(g: Graph) -> DataFrame:
     """References of all files, as an index run resolves them."""
-    facts = read_once(X.extract(files(g, *REFERENCES)).filter("fact IN ('symbol', 'reference')"), "facts")
+    facts = read_once(X.extract(files(g, *REFERENCES), "symbol", "reference"), "facts")
     raw, symbols = X.raw_references(facts), X.declared(facts)
     return J.resolve_references(raw, symbols, targets=J.named_in(symbols, raw))
 
 
 def _type_edges(g: Graph) -> DataFrame:
-    facts = read_once(X.extract(files(g, *SUPERTYPES)).filter("fact IN ('symbol', 'supertype')"), "facts")
+    facts = read_once(X.extract(files(g, *SUPERTYPES), "symbol", "supertype"), "facts")
     raw, symbols = X.raw_supertypes(facts), X.declared(facts)
     return J.resolve_supertypes(raw, symbols, targets=J.named_in(symbols, raw))
 
@@ -190,12 +191,12 @@ CATALOG = {
         "SELECT 'e' || event_id || '.json' AS path, unnest(json_keys(props)) AS name, 'key' AS kind, CAST(1 AS INTEGER) AS start_line FROM events",
     ),
     "x10_markdown_symbols": _symbols("markdown"),
-    "x11_script_imports": _raw(X.raw_imports, IMPORTS, ["package"], "typescript", "javascript"),
-    "x12_csharp_imports": _raw(X.raw_imports, IMPORTS, ["package"], "csharp"),
-    "x13_supertypes": _raw(X.raw_supertypes, SUPERTYPES, ["from", "to", "hint"], *SUPERTYPES),
-    "x14_csharp_references": _raw(X.raw_references, REFERENCES, ["from", "to"], "csharp"),
-    "x15_rust_references": _raw(X.raw_references, REFERENCES, ["from", "to"], "rust"),
-    "x16_script_references": _raw(X.raw_references, REFERENCES, ["from", "to"], "typescript", "javascript"),
+    "x11_script_imports": _raw("import", IMPORTS, ["package"], "typescript", "javascript"),
+    "x12_csharp_imports": _raw("import", IMPORTS, ["package"], "csharp"),
+    "x13_supertypes": _raw("supertype", SUPERTYPES, ["from", "to", "hint"], *SUPERTYPES),
+    "x14_csharp_references": _raw("reference", REFERENCES, ["from", "to"], "csharp"),
+    "x15_rust_references": _raw("reference", REFERENCES, ["from", "to"], "rust"),
+    "x16_script_references": _raw("reference", REFERENCES, ["from", "to"], "typescript", "javascript"),
     "j6_resolve_imports": (
         _imports,
         f"WITH {_PARTS}, {_PACKAGES}, imp AS ({_rows(IMPORTS, ['package'])}), hit AS (SELECT i.path, i.package, p.id, length(p.name) AS size FROM imp i JOIN packages p ON p.ecosystem = 'nuget' AND (i.package = p.name OR starts_with(i.package, p.name || '.')) WHERE language = 'csharp')"
