@@ -140,13 +140,13 @@ def _edges(g: Graph) -> DataFrame:
     """References of all files, as an index run resolves them."""
     facts = read_once(X.extract(files(g, *REFERENCES), "symbol", "reference"), "facts")
     raw, symbols = X.raw_references(facts), X.declared(facts)
-    return J.resolve_references(raw, symbols, targets=J.named_in(symbols, raw))
+    return J.resolve_references(raw, symbols, targets=read_once(J.named_in(symbols, raw), "targets"))
 
 
 def _type_edges(g: Graph) -> DataFrame:
     facts = read_once(X.extract(files(g, *SUPERTYPES), "symbol", "supertype"), "facts")
     raw, symbols = X.raw_supertypes(facts), X.declared(facts)
-    return J.resolve_supertypes(raw, symbols, targets=J.named_in(symbols, raw))
+    return J.resolve_supertypes(raw, symbols, targets=read_once(J.named_in(symbols, raw), "targets"))
 
 
 def _index_sql(table: dict, columns: list[str], raw: str, extra: str, tail: str) -> str:
