@@ -19,6 +19,8 @@ from .common import documents, staged, work_path
 
 #: Bytes a task reads of a compressed file; members that start in its span are its own.
 SPLIT, READ = 32 << 20, 1 << 20
+#: Bytes of a member that are held inflated between its check and its records; a larger one is inflated again.
+HELD = 4 << 20
 _MEMBER = b"\x1f\x8b\x08"
 _VERSION = re.compile(rb"WARC/[01]\.\d+\r\n")
 _RECORDS = "file string, start long, end long, kind string, uri string, record_id string, date string, page_id long, payload binary, inner_start long, inner_end long, inner_size long"
@@ -131,6 +133,15 @@ class _Window:
 
 def _pieces(w: _Window, start: int) -> Iterator[tuple[bytes, int, bool]]:
     """(bytes, place in the file after them, whether the member ended there, sound) of a member as it inflates; after damage, what inflates before it."""
+    # most members are one chunk: no state to go back to
+    d, chunk = zlib.decompressobj(31), w.bytes(start, 1 << 14)
+    try:
+        got = d.decompress(chunk, READ)
+        if d.eof:
+            yield got, start + len(chunk) - len(d.unused_data), True
+            return
+    except zlib.error:
+        pass
     d, at = zlib.decompressobj(31), start
     while chunk := w.bytes(at, 1 << 14):
         before, rest = d.copy(), chunk
@@ -146,11 +157,17 @@ def _pieces(w: _Window, start: int) -> Iterator[tuple[bytes, int, bool]]:
                 if not rest and len(got) < READ:
                     break
         except zlib.error:
-            for i in range(len(chunk) if before else 0):
+            # the damage is in chunk[a:b]
+            a, b = 0, len(chunk) if before else 0
+            while b - a > 1:
+                middle, trial = (a + b) // 2, before.copy()
                 try:
-                    yield before.decompress(chunk[i : i + 1]), at + i + 1, False
+                    got = trial.decompress(chunk[a:middle])
                 except zlib.error:
-                    return
+                    b = middle
+                    continue
+                before, a = trial, middle
+                yield got, at + a, False
             return
         at += len(chunk)
 
@@ -193,10 +210,45 @@ def _records(pieces: Iterator[bytes], proven: bool) -> Iterator[tuple[int, int,
         base, need, seen = base + cut, 1, 0
 
 
+def _print(headers: dict[str, str], body: bytes) -> bytes:
+    """What tells a record: a torn one may have headers of its own before those of the record that it runs into."""
+    named = [headers.get(n) for n in ("warc-type", "warc-record-id", "warc-target-uri", "warc-date")]
+    return hashlib.sha256(repr(named).encode("utf-8", "surrogatepass") + body).digest()
+
+
+def _members_within(w: _Window, at: int, end: int) -> tuple[int, set[bytes]]:
+    """(inflated bytes of the damaged member at `at` before the first sound member within it, prints of the records of all such members).
+
+    Where a writer died and tried again, the torn member inflates on into the next one, and may come in step with it.
+    """
+    first, found, place = end, set(), at + 1
+    while (place := w.find(_MEMBER, place, end)) >= 0:
+        stop, sound = place, False
+        for _, stop, sound in _pieces(w, place):
+            pass
+        if sound:
+            first = min(first, place)
+            found.update(_print(headers, body) for _, _, headers, body in _records((p[0] for p in _pieces(w, place)), True))
+        place = stop if sound else place + 1
+    if not found:
+        return 0, found
+    d, own = zlib.decompressobj(31), 0
+    for place in range(at, first, 1 << 14):
+        rest = w.bytes(place, min(1 << 14, first - place))
+        try:
+            while rest:
+                own += len(d.decompress(rest, READ))
+                rest = d.unconsumed_tail
+        except zlib.error:
+            break
+    return own, found
+
+
 def salvage(w: _Window, start: int, stop: int, packed: bool) -> Iterator[tuple[int, int, int, int, int | None, dict[str, str], bytes]]:
     """(start, end, inner start, inner end, inner size, headers, body) of the sound records that begin in [start, stop).
 
-    The inner places are in the inflated member, whose size is null if it is damaged. After a failed check
+    The inner places are in the inflated member, whose size is null if it is damaged; what a damaged member only
+    repeats of a sound one that it runs into is that one's. After a failed check
     the search goes on for the next version line, within a member too, or one byte after the failed
     record's or member's beginning for the next gzip member.
     """
@@ -207,11 +259,20 @@ def salvage(w: _Window, start: int, stop: int, packed: bool) -> Iterator[tuple[i
             return
         end, some = at + 1, False
         if packed:
-            # once for the checksum, once for the records: neither holds the member
-            size, sound = 0, False
+            # once for the checksum, once for the records: neither holds more than HELD of the member
+            size, sound, held = 0, False, []
             for got, end, sound in _pieces(w, at):
                 size += len(got)
-            for a, b, headers, body in _records((p[0] for p in _pieces(w, at)), sound) if size else ():
+                if size <= HELD:
+                    held.append(got)
+            inflated = iter(held) if size <= HELD else (p[0] for p in _pieces(w, at))
+            own, later = None, set()
+            for a, b, headers, body in _records(inflated, sound) if size else ():
+                if not sound:
+                    if own is None:
+                        own, later = _members_within(w, at, end)
+                    if b > own and _print(headers, body) in later:
+                        continue
                 yield at, end, a, b, size if sound else None, headers, body
                 some = sound
         else:
@@ -239,7 +300,7 @@ def _splits(spark: SparkSession, path: str) -> DataFrame:
     return df.repartition(max(1, len(rows)), "file", "start") if rows else df
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """A row for each sound record below path (*.warc.gz, *.warc).
 
     file, start, end (bytes in the file), kind, uri, record_id, date, page_id (our own header, else
@@ -248,6 +309,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     quarantined, inner_start, inner_end, inner_size (see salvage). Compressed files are read in splits: a record belongs
     to the split its member begins in. Uncompressed files are read by one task each, since a payload may
     itself hold version lines. Empty files and folders give no rows; headers that repeat keep the last.
+    Without payloads that column is null.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,8 +321,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 with fs.open_input_file(name) as f:
                     for start, end, a, b, inner, h, body in salvage(_Window(f, row["size"]), row["start"], row["stop"], name.endswith(".gz")):
                         uri = h.get("warc-target-uri")
-                        rows.append({"file": row["file"], "start": start, "end": end, "kind": h["warc-type"], "uri": None if uri is None else _as_it_was(uri), "record_id": h.get("warc-record-id"), "date": h.get("warc-date"), "page_id": _page(h), "payload": None if "warc-null-payload" in h else body, "inner_start": a, "inner_end": b, "inner_size": inner})
-                        held += len(body)
+                        rows.append({"file": row["file"], "start": start, "end": end, "kind": h["warc-type"], "uri": None if uri is None else _as_it_was(uri), "record_id": h.get("warc-record-id"), "date": h.get("warc-date"), "page_id": _page(h), "payload": None if "warc-null-payload" in h or not payloads else body, "inner_start": a, "inner_end": b, "inner_size": inner})
+                        held += len(body) if payloads else 64
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, held = [], 0
@@ -332,7 +394,7 @@ def round_trip(pages: DataFrame, torn_before: str | None = None) -> DataFrame:
     path = work_path(spark, "warc")
     write_warc(pages, path, torn_before).agg(F.sum("records")).collect()
     # spans alone are kept for the gap log; bodies are read again rather than stored twice
-    spans = staged(read_warc(spark, path).select("file", "start", "end", "page_id", "inner_start", "inner_end", "inner_size"), "warc-spans")
+    spans = staged(read_warc(spark, path, payloads=False).select("file", "start", "end", "page_id", "inner_start", "inner_end", "inner_size"), "warc-spans")
     records = read_warc(spark, path)
     torn = gaps(spans, spark, path).filter("next_id IS NOT NULL AND inner_start IS NULL").groupBy("file", F.col("end").alias("start")).agg(F.count("*").alias("gaps_before"))
     return records.join(torn, ["file", "start"], "left").select("page_id", F.col("uri").alias("url"), F.col("payload").cast("string").alias("html"), F.coalesce("gaps_before", F.lit(0)).cast("long").alias("gaps_before"))
