@@ -51,17 +51,24 @@ def answer_of(text: str | None) -> list[int]:
 
 def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence, bits in parallel (Hyyrö, 2004)."""
+    return _lcs(_places(a), len(a), b)
+
+
+def _places(a: list) -> dict:
+    """Where a has each word, as bits."""
     masks: dict = {}
     for i, x in enumerate(a):
         masks[x] = masks.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
+    return masks
+
+
+def _lcs(places: dict, n: int, b: list) -> int:
+    full = (1 << n) - 1
     v = full
-    for y in b:
-        m = masks.get(y)
-        if m:
-            u = v & m
-            v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+    for m in filter(None, map(places.get, b)):
+        u = v & m
+        v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
 
 
 class Space:
@@ -228,9 +235,7 @@ def fit_space(encoded: DataFrame, space: Space, dimensions: int = DIMENSIONS, ma
                 own[first[two] + 1] += p[two]
                 order = np.argsort(term, kind="stable")
                 at = np.append(np.flatnonzero(np.diff(term[order], prepend=-1)), len(order))
-                run_sum = np.cumsum(own[block[order]], axis=0)
-                upto = np.concatenate([np.zeros((1, width), np.float32), run_sum[at[1:] - 1]])
-                y[term[order][at[:-1]]] += np.diff(upto, axis=0)
+                y[term[order][at[:-1]]] += np.add.reduceat(own[block[order]], at[:-1], axis=0)
         some = np.flatnonzero(y.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(list(y[some].astype(np.float32)), pa.list_(pa.float32()))], names=["term", "y"])
 
@@ -291,14 +296,17 @@ class _Bags:
     def share(self, terms: np.ndarray, begin: np.ndarray, stop: np.ndarray, item: np.ndarray, least: np.ndarray) -> np.ndarray:
         """Which stretches terms[begin:stop] have at least `least` words in common with their item, each as often as both have it."""
         out = []
+        # words that no item has are left out before stretches are made of words
+        kept = np.concatenate([[0], np.cumsum(terms >= 0)])
+        terms, begin, stop = terms[terms >= 0], kept[begin], kept[stop]
+        narrow = np.int64 if self.table is None else np.int32
         edges = [0, *(np.flatnonzero(np.diff(np.cumsum(stop - begin) // WORDS_AT_ONCE)) + 1), len(begin)]
         for a, b in zip(edges[:-1], edges[1:]):
             n = (stop - begin)[a:b]
-            case = np.repeat(np.arange(b - a), n)
-            word = terms[np.arange(int(n.sum())) + np.repeat(begin[a:b] - (np.cumsum(n) - n), n)].astype(np.int64)
-            case, word = case[word >= 0], word[word >= 0]
-            held = self.of(item[a:b][case] * self.n_terms + word)
-            case, word, held = case[held > 0], word[held > 0], held[held > 0]
+            word = terms[np.arange(int(n.sum())) + np.repeat(begin[a:b] - (np.cumsum(n) - n), n)].astype(narrow)
+            held = self.of(np.repeat((item[a:b] * self.n_terms).astype(narrow), n) + word)
+            some = np.flatnonzero(held)
+            case, word, held = np.searchsorted(np.cumsum(n), some, side="right"), word[some].astype(np.int64), held[some]
             enough = np.bincount(case, minlength=b - a) >= least[a:b]
             keep = enough[case]
             both, first, many = np.unique(case[keep] * self.n_terms + word[keep], return_index=True, return_counts=True)
@@ -359,6 +367,7 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, list[int], list[int]]], co
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
         numbered = [([s.ids[w] for w in ws], [s.ids[w] for w in answer]) for _, ws, answer in s.items]
+        places = [_places(want) for want, _ in numbered]
         bags = _Bags([want for want, _ in numbered], len(s.used))
         lengths = np.array([len(want) for want, _ in numbered])
         cuts = np.array([cut_off(len(want), cosine) for want, _ in numbered], np.float32)
@@ -367,7 +376,7 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, list[int], list[int]]], co
         often = np.zeros((len(s.used), len(common)), np.int32)
         for k, i in enumerate(common):
             np.add.at(often[:, k], numbered[i][0], 1)
-        held = [(often >= n).astype(np.float32) for n in range(1, int(often.max(initial=0)) + 1)]
+        held = [(often >= n).astype(np.uint8) for n in range(1, int(often.max(initial=0)) + 1)]
         least = np.array([_least_shared(len(numbered[i][0]), cover_with_answer) for i in common], np.float32)
         for batch in batches:
             out: dict[tuple, tuple] = {}
@@ -392,7 +401,7 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, list[int], list[int]]], co
                     want, answer = numbered[item]
                     d = doc[at]
                     near = terms[a:b].tolist()
-                    got = _cover(want, near)
+                    got = _cover(want, near, places[item])
                     if got < cover_with_answer:
                         continue
                     told = bool(answer) and lcs(answer, near) >= ANSWER_COVER * len(answer)
@@ -409,14 +418,15 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, list[int], list[int]]], co
     return encoded.mapInArrow(search, SCHEMA)
 
 
-def _cover(want: list[int], near: list[int]) -> float:
+def _cover(want: list[int], near: list[int], places: dict | None = None) -> float:
     """Share of the item in its longest common subsequence with a stretch of about its own length."""
     span = len(want) + max(2, len(want) // 4)
-    full = lcs(want, near)
+    places = _places(want) if places is None else places
+    full = _lcs(places, len(want), near)
     if full < 0.5 * len(want) or len(near) <= span:
         return full / len(want)
     step = max(1, len(want) // 8)
-    return max(lcs(want, near[a : a + span]) for a in range(0, len(near) - span + step, step)) / len(want)
+    return max(_lcs(places, len(want), near[a : a + span]) for a in range(0, len(near) - span + step, step)) / len(want)
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
