@@ -175,6 +175,35 @@ def _shared_words(block: np.ndarray, term: np.ndarray, block_doc: np.ndarray, fi
     return out
 
 
+def _may_share(inside: np.ndarray | None, block_doc: np.ndarray, first: np.ndarray, items: list[int], least: np.ndarray) -> np.ndarray:
+    """The passages that may share `least` words with one of the items, by the words of their blocks (_Bags.in_blocks)."""
+    if inside is None:
+        return np.arange(len(first))
+    mine = inside[:, items]
+    held = mine[first]
+    two = np.append(block_doc[1:] == block_doc[:-1], False)[first]
+    held[two] += mine[first[two] + 1]
+    return np.flatnonzero((held >= least).any(1))
+
+
+def _may_hold(inside: np.ndarray, a: np.ndarray, b: np.ndarray, item: np.ndarray, width: np.ndarray, needed: np.ndarray) -> np.ndarray:
+    """The cases of which some width[item] neighbours (all, if they are fewer) of inside[a:b, item] add up to needed[item]."""
+    n = inside.shape[1]
+    sums = np.zeros((len(inside) + 1, n), np.int32)
+    np.cumsum(inside, 0, np.int32, sums[1:])
+    sums, least, wide = sums.ravel(), needed[item], np.minimum(width[item], b - a)
+    found = np.zeros(len(item), bool)
+    left = np.flatnonzero(wide > 0)
+    begin = a
+    while len(left):
+        at = begin[left] * n + item[left]
+        good = sums[at + wide[left] * n] - sums[at] >= least[left]
+        found[left[good]] = True
+        begin = begin + 1
+        left = left[~good & (begin[left] + wide[left] <= b[left])]
+    return np.flatnonzero(found)
+
+
 def _batches(batch: pa.RecordBatch, words_at_once: int = 40_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     sizes = np.diff(batch.column(1).offsets.to_numpy())
     cuts = np.cumsum(sizes) // words_at_once
@@ -234,8 +263,8 @@ def fit_space(encoded: DataFrame, space: Space, dimensions: int = DIMENSIONS, ma
                 two = np.append(doc[:-1] == doc[1:], False)[first]
                 own[first[two] + 1] += p[two]
                 order = np.argsort(term, kind="stable")
-                at = np.append(np.flatnonzero(np.diff(term[order], prepend=-1)), len(order))
-                y[term[order][at[:-1]]] += np.add.reduceat(own[block[order]], at[:-1], axis=0)
+                some, group = np.unique(term[order], return_inverse=True)
+                y[some] += _sum_by(group, len(some), block[order], own)
         some = np.flatnonzero(y.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(list(y[some].astype(np.float32)), pa.list_(pa.float32()))], names=["term", "y"])
 
@@ -282,10 +311,15 @@ class _Bags:
         self.n_terms = n_terms
         pairs = np.concatenate([np.array(w, np.int64) + i * n_terms for i, w in enumerate(items)])
         self.keys, self.counts = np.unique(pairs, return_counts=True)
-        self.table = None
+        self.table = self.has = None
         if len(items) * n_terms <= TABLE_CELLS:
-            self.table = np.zeros(len(items) * n_terms, np.int32)
+            self.table = np.zeros(len(items) * n_terms, np.uint8 if self.counts.max() < 256 else np.int32)
             self.table[self.keys] = self.counts
+            self.has = np.ascontiguousarray(self.table.reshape(len(items), n_terms).T > 0).view(np.uint8)
+
+    def in_blocks(self, block: np.ndarray, term: np.ndarray, n: int) -> np.ndarray | None:
+        """block x item: how many of a block's words the item has; None beyond TABLE_CELLS."""
+        return None if self.has is None else _sum_by(block, n, term, self.has)
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         if self.table is not None:
@@ -305,14 +339,15 @@ class _Bags:
             n = (stop - begin)[a:b]
             word = terms[np.arange(int(n.sum())) + np.repeat(begin[a:b] - (np.cumsum(n) - n), n)].astype(narrow)
             held = self.of(np.repeat((item[a:b] * self.n_terms).astype(narrow), n) + word)
-            some = np.flatnonzero(held)
-            case, word, held = np.searchsorted(np.cumsum(n), some, side="right"), word[some].astype(np.int64), held[some]
-            enough = np.bincount(case, minlength=b - a) >= least[a:b]
-            keep = enough[case]
-            both, first, many = np.unique(case[keep] * self.n_terms + word[keep], return_index=True, return_counts=True)
-            shared = np.bincount(both // self.n_terms, np.minimum(many, held[keep][first]), b - a)
+            ends = np.cumsum(n)
+            so_far = np.concatenate([[0], np.cumsum(held > 0, dtype=np.int32)])
+            enough = so_far[ends] - so_far[ends - n] >= least[a:b]
+            keep = np.flatnonzero(np.repeat(enough, n) & (held > 0))
+            case, held = np.repeat(np.arange(b - a), n)[keep], held[keep]
+            both, first, many = np.unique(case * self.n_terms + word[keep], return_index=True, return_counts=True)
+            shared = np.bincount(both // self.n_terms, np.minimum(many, held[first]), b - a)
             out.append(a + np.flatnonzero(enough & (shared >= least[a:b])))
-        return np.concatenate(out)
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, cover: float = COVER, cover_with_answer: float = COVER_WITH_ANSWER) -> DataFrame:
@@ -370,6 +405,9 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, list[int], list[int]]], co
         places = [_places(want) for want, _ in numbered]
         bags = _Bags([want for want, _ in numbered], len(s.used))
         lengths = np.array([len(want) for want, _ in numbered])
+        needed = cover_with_answer * lengths
+        # stretches of _cover() touch so many blocks; it looks at whole texts for less than half an item
+        blocks_looked_at = -(-(_span(lengths) + BLOCK - 1) // BLOCK) if cover_with_answer >= 0.5 else np.full(len(lengths), 1 << 30)
         cuts = np.array([cut_off(len(want), cosine) for want, _ in numbered], np.float32)
         common = [i for i, (want, _) in enumerate(numbered) if s.used[want].mean() < COVERED]
         everything = np.ones(len(s.used), bool)
@@ -389,14 +427,20 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, list[int], list[int]]], co
                 begin = np.cumsum(sizes) - sizes
                 ids = part.column(0).to_pylist()
                 near_enough = sim >= cuts[None, :]
+                block, term, _, _ = _blocks(terms, sizes, everything)
+                inside = bags.in_blocks(block, term, len(block_doc))
                 if common:
-                    block, term, _, _ = _blocks(terms, sizes, everything)
-                    near_enough[:, common] |= _shared_words(block, term, block_doc, first, held) >= least
-                where, which = np.nonzero(near_enough)
+                    some = _may_share(inside, block_doc, first, common, least)
+                    near_enough[np.ix_(some, common)] |= _shared_words(block, term, block_doc, first[some], held) >= least
+                where, which = np.divmod(np.flatnonzero(near_enough), len(lengths))
                 first_word = np.maximum(begin[doc[where]], start[where] - lengths[which])
                 past = np.minimum((begin + sizes)[doc[where]], start[where] + 2 * BLOCK + lengths[which])
-                # no common subsequence is longer than what the bags share
-                some = bags.share(terms, first_word, past, which, cover_with_answer * lengths[which])
+                # no common subsequence is longer than what the bags share, nor that than the item's words in the blocks around
+                if inside is not None:
+                    before, head = begin[doc[where]], np.searchsorted(block_doc, doc[where])
+                    some = _may_hold(inside, head + (first_word - before) // BLOCK, head - (before - past) // BLOCK, which, blocks_looked_at, needed)
+                    where, which, first_word, past = where[some], which[some], first_word[some], past[some]
+                some = bags.share(terms, first_word, past, which, needed[which])
                 for at, item, a, b in zip(where[some].tolist(), which[some].tolist(), first_word[some].tolist(), past[some].tolist()):
                     want, answer = numbered[item]
                     d = doc[at]
@@ -418,9 +462,14 @@ def _leaks_of(docs: DataFrame, items: list[tuple[int, list[int], list[int]]], co
     return encoded.mapInArrow(search, SCHEMA)
 
 
+def _span(n: int | np.ndarray) -> np.ndarray:
+    """Words of the stretches in which _cover() looks for an item of n words."""
+    return n + np.maximum(2, n // 4)
+
+
 def _cover(want: list[int], near: list[int], places: dict | None = None) -> float:
     """Share of the item in its longest common subsequence with a stretch of about its own length."""
-    span = len(want) + max(2, len(want) // 4)
+    span = int(_span(len(want)))
     places = _places(want) if places is None else places
     full = _lcs(places, len(want), near)
     if full < 0.5 * len(want) or len(near) <= span:
