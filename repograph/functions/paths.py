@@ -140,9 +140,10 @@ def normal_path(path: Column) -> Column:
 
 def ancestors(path: Column) -> Column:
     """All directories above a path, '' first."""
-    parts = F.split(parent_dir(path), "/")
-    dirs = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    return F.array_distinct(F.concat(F.array(F.lit("")), dirs))
+    root, dir = F.array(F.lit("")), parent_dir(path)
+    # the lambda is run for each level: it cuts the path, which needs no search of its own
+    dirs = F.transform(F.sequence(F.lit(1), F.size(F.split(dir, "/"))), lambda i: F.call_function("substring_index", path, F.lit("/"), i))
+    return F.when(dir == "", root).otherwise(F.array_distinct(F.concat(root, dirs)))
 
 
 def route_role(path: Column) -> Column:

@@ -53,15 +53,16 @@ def cascade(raw: DataFrame, symbols: DataFrame, targets: DataFrame | None = None
     base = base.join(shuffled(ends.select("to").distinct()), "to", "left_semi").select("src", "to", "file_path", *extra)
     dirs = F.transform(F.filter(ancestors(F.col("t_file")), lambda d: d != ""), _below)
 
-    def some(scope: Column) -> DataFrame:
-        ids = [F.min("dst").alias("rg_lo"), F.max("dst").alias("rg_hi")]
-        return shuffled(ends.select("to", "dst", scope.alias("scope")).groupBy("to", "scope").agg(*ids))
+    # least and greatest ids of each file first: directories are made of files, not of each symbol's path
+    in_files = ends.groupBy("to", "t_file").agg(F.min("dst").alias("rg_lo"), F.max("dst").alias("rg_hi"))
+    in_dirs = in_files.select("to", F.explode(dirs).alias("scope"), "rg_lo", "rg_hi").groupBy("to", "scope").agg(F.min("rg_lo").alias("rg_lo"), F.max("rg_hi").alias("rg_hi"))
+    in_files = in_files.select("to", _in_file(F.col("t_file")).alias("scope"), "rg_lo", "rg_hi")
 
     other = F.coalesce((F.col("rg_lo") != F.col("src")) | (F.col("rg_hi") != F.col("src")), F.lit(False))
     dir, scope = parent_dir(F.col("file_path")), F.col("scope")
-    near = base.withColumn("scope", _in_file(F.col("file_path"))).join(some(_in_file(F.col("t_file"))), ["to", "scope"], "left")
+    near = base.withColumn("scope", _in_file(F.col("file_path"))).join(shuffled(in_files), ["to", "scope"], "left")
     near = near.withColumn("scope", F.when(other, scope).when(dir != "", _below(dir)).otherwise("")).drop("rg_lo", "rg_hi")
-    near = near.join(some(F.explode(dirs)), ["to", "scope"], "left")
+    near = near.join(shuffled(in_dirs), ["to", "scope"], "left")
     near = near.withColumn("scope", F.when(scope.startswith("=") | other, scope).otherwise("")).drop("rg_lo", "rg_hi")
     everywhere = F.explode(F.concat(F.array(F.lit(""), _in_file(F.col("t_file"))), dirs))
     met = near.join(shuffled(found.select("to", "dst", "t_kind", everywhere.alias("scope"))), ["to", "scope"])

@@ -34,3 +34,12 @@ def test_files_are_spread_over_tasks(spark, language):
 @pytest.mark.parametrize("name", ["q9_index_references", "q9_index_supertypes"])
 def test_an_index_run_scans_once(spark, name):
     assert "mapInArrow" not in _plan(QUERIES[name](spark, str(DATA))).replace("MapInArrow", "mapInArrow")
+
+
+@pytest.mark.parametrize("name", ["j4_resolve_supertypes", "j5_resolve_references", "s12_live_edges", "a1_stats"])
+def test_directories_are_made_of_grouped_files(spark, name):
+    """The paths of all symbols of one scan task were taken apart in that task."""
+    lines = QUERIES[name](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    for i in (i for i, line in enumerate(lines) if "Generate explode(" in line):
+        table = next(j for j in range(i, len(lines)) if "Relation [" in lines[j])
+        assert any("Aggregate [" in line for line in lines[i:table])
