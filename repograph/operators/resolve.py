@@ -92,29 +92,31 @@ def resolve_supertypes(raw: DataFrame, symbols: DataFrame, name: str | None = No
     return met.select("src", "dst", F.explode(kinds).alias("kind"))
 
 
-def exact_imports(imports: DataFrame, packages: DataFrame) -> DataFrame:
-    """file_path, package_id of imports (file_path, package) by exact name."""
-    return imports.join(shuffled(packages.select(F.col("name").alias("package"), F.col("id").alias("package_id"))), "package").select("file_path", "package_id").distinct()
-
-
 def resolve_imports(imports: DataFrame, packages: DataFrame) -> DataFrame:
     """file_path, package_id of imports (file_path, language, package).
 
     A JavaScript or TypeScript import is an npm package of that name; a C# namespace is the nuget package
-    whose name is its longest dotted prefix; other languages' imports name no package.
+    whose name is its longest dotted prefix; other languages' imports name no package. Each name is resolved
+    once, however many files import it, so that packages meet names and not files.
     """
-    npm = exact_imports(imports.filter(F.col("language").isin("javascript", "typescript")), packages.filter("ecosystem = 'npm'"))
-    nuget = packages.filter("ecosystem = 'nuget'")
-    spaces = imports.filter("language = 'csharp'").select("file_path", F.col("package").alias("name")).distinct().withColumn("use", F.struct("file_path", "name"))
-    met = longest_prefix(spaces.select("use", "name"), nuget, "use").join(shuffled(nuget.select(F.col("name").alias("package"), F.col("id").alias("package_id"))), "package")
-    return npm.unionByName(met.select("use.file_path", "package_id")).distinct()
+    ecosystem = F.when(F.col("language").isin("javascript", "typescript"), "npm").when(F.col("language") == "csharp", "nuget")
+    asked = imports.select("file_path", ecosystem.alias("ecosystem"), "package").filter("ecosystem IS NOT NULL")
+    begins = F.when(F.col("ecosystem") == "npm", F.array("package")).otherwise(_prefixes("package"))
+    named = asked.select("ecosystem", "package").distinct().select("ecosystem", "package", F.explode(begins).alias("name"))
+    offered = packages.groupBy("ecosystem", "name").agg(F.collect_set("id").alias("ids"))
+    found = named.join(shuffled(offered), ["ecosystem", "name"]).groupBy("ecosystem", "package").agg(F.max_by("ids", F.length("name")).alias("ids"))
+    return asked.join(shuffled(found), ["ecosystem", "package"]).select("file_path", F.explode("ids").alias("package_id")).distinct()
+
+
+def _prefixes(name: str) -> Column:
+    """What begins a dotted name at a dot, and the name itself."""
+    parts = F.split(name, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
 
 
 def longest_prefix(names: DataFrame, packages: DataFrame, key: str) -> DataFrame:
     """key, package: the longest package name that equals a dotted name (column name) or begins it at a dot."""
-    parts = F.split("name", r"\.")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
-    met = names.select(key, F.explode(prefixes).alias("package")).join(shuffled(packages.select(F.col("name").alias("package")).distinct()), "package")
+    met = names.select(key, F.explode(_prefixes("name")).alias("package")).join(shuffled(packages.select(F.col("name").alias("package")).distinct()), "package")
     return met.groupBy(key).agg(F.max_by("package", F.length("package")).alias("package"))
 
 

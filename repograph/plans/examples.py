@@ -116,12 +116,10 @@ def _raw(fact: str, table: dict, columns: list[str], *languages: str):
 
 def _packages(g: Graph) -> DataFrame:
     """Packages that the imports of files() name, of both ecosystems; some names are in both."""
-    key = g.table("part").select(F.col("p_partkey").alias("k"))
-    rows = [("npm", F.concat(F.lit("@acme/part"), "k"), 3), ("npm", F.concat(F.lit("part"), "k"), 2), ("nuget", F.concat(F.lit("Acme.Part"), "k"), 2), ("nuget", F.lit("Acme"), 1), ("npm", F.lit("System"), 1), ("nuget", F.concat(F.lit("part"), "k"), 1)]
-    out = None
-    for eco, name, step in rows:
-        one = key.filter(F.col("k") % step == 0).select(F.lit(eco).alias("ecosystem"), name.alias("name")).distinct()
-        out = one if out is None else out.unionByName(one)
+    k = F.col("p_partkey")
+    rows = [("npm", F.concat(F.lit("@acme/part"), k), 3), ("npm", F.concat(F.lit("part"), k), 2), ("nuget", F.concat(F.lit("Acme.Part"), k), 2), ("nuget", F.lit("Acme"), 1), ("npm", F.lit("System"), 1), ("nuget", F.concat(F.lit("part"), k), 1)]
+    each = [F.when(k % step == 0, F.struct(F.lit(eco).alias("ecosystem"), name.alias("name"))) for eco, name, step in rows]
+    out = g.table("part").select(F.inline(F.array_compact(F.array(*each)))).distinct()
     return out.withColumn("id", P.package_id(F.col("ecosystem"), F.col("name")))
 
 
@@ -131,9 +129,9 @@ _PACKAGES = """packages AS (SELECT *, 'pkg:' || ecosystem || ':' || name AS id F
 
 
 def _imports(g: Graph) -> DataFrame:
-    own = files(g, *IMPORTS)
-    raw = read_once(X.raw_imports(X.extract(own, "import")), "imports")
-    return J.resolve_imports(raw.join(shuffled(own.select(F.col("path").alias("file_path"), "language")), "file_path"), _packages(g))
+    # a file's language is what its path says
+    raw = X.raw_imports(X.extract(files(g, *IMPORTS), "import")).withColumn("language", P.language(F.col("file_path")))
+    return J.resolve_imports(read_once(raw, "imports"), _packages(g))
 
 
 def _edges(g: Graph) -> DataFrame:
