@@ -34,7 +34,7 @@ def _rows(path: str, language: str, text: str, wanted: frozenset[str] = FACTS) -
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_ARROW)], schema=_ARROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
 def extract(files: DataFrame, *wanted: str) -> DataFrame:

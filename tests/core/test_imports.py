@@ -56,3 +56,20 @@ def test_import_files_are_made_once(spark):
     """They were made again for their languages, and packages were read for each ecosystem and pattern."""
     plan = catalog.queries()["j6_resolve_imports"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [p_partkey") == 1
+
+
+def test_references_need_no_exports_or_clauses(monkeypatch):
+    """Exports tell what is exported, clauses what is imported: nothing of calls and types."""
+    reader, text = READERS["script"]._Reader, FILES["typescript"][1] + "export { a as b };\nexport default c;\nconst d = require('e');\n"
+    want = READERS["script"].script(text, True, False).references
+    for name in ("export", "imports", "specifier"):
+        monkeypatch.setattr(reader, name, None)
+    assert want and READERS["script"].script(text, True, False, False, frozenset(["reference"])).references == want
+
+
+@pytest.mark.parametrize("source", ["#!/usr/bin/env node\nclass A {}", "/* a */ // b\nclass A { $b = .5; c = '\\'d'; #e = ...f }", "class A {} ' \" @ # $", "/* class B {}"])
+def test_tokens_in_one_go_are_those_one_by_one(source):
+    lexer = READERS["script"]._Lexer
+    one, t = lexer(source, False), lexer(source, False).read()
+    one.run()
+    assert (t.text, t.kind) == (one.t.text, one.t.kind) and t.begin[: len(t)] == one.t.begin and t.stop[: len(t)] == one.t.stop
